@@ -1,0 +1,197 @@
+"""Deterministic reads and overlaps derived from the `part` table.
+
+Every part is a read with known position and strand, so layouts can be checked in
+closed form. See FIXTURES.md for the definitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NEIGHBOURS = 12
+MIN_OVERLAP = 1000
+
+
+def sim_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("long")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("read_id"),
+        (k * 900 + (k * 104729) % 400).alias("g_start"),
+        (F.lit(5000) + (k * 7919) % 4000).alias("read_len"),
+        F.when((k * 31) % 7 < 3, -1).otherwise(1).alias("strand"),
+    ).withColumn("g_end", F.col("g_start") + F.col("read_len"))
+
+
+def _pairs(reads: DataFrame) -> DataFrame:
+    q = reads.select(*[F.col(c).alias("a_" + c) for c in reads.columns]).withColumn(
+        "b_read_id", F.explode(F.sequence(F.col("a_read_id") + 1, F.col("a_read_id") + NEIGHBOURS))
+    )
+    t = reads.select(*[F.col(c).alias("b_" + c) for c in reads.columns])
+    lo, hi = F.greatest("a_g_start", "b_g_start"), F.least("a_g_end", "b_g_end")
+    return (
+        q.join(t, "b_read_id")
+        .withColumn("lo", lo).withColumn("hi", hi)
+        .filter(F.col("hi") - F.col("lo") >= MIN_OVERLAP)
+    )
+
+
+def paf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-way overlaps, lower id as query."""
+    p = _pairs(sim_reads(spark, sf_dir))
+
+    def span(side, left):
+        s, e, forward = F.col(side + "_g_start"), F.col(side + "_g_end"), F.col(side + "_strand") == 1
+        if left:
+            return F.when(forward, F.col("lo") - s).otherwise(e - F.col("hi"))
+        return F.when(forward, F.col("hi") - s).otherwise(e - F.col("lo"))
+
+    name = lambda side: F.concat(F.lit("read_"), F.col(side + "_read_id").cast("string"))
+    aln = F.col("hi") - F.col("lo")
+    return p.select(
+        (F.col("a_read_id") * 16 + F.col("b_read_id") - F.col("a_read_id")).alias("line_no"),
+        name("a").alias("q_name"), F.col("a_read_len").alias("q_len"),
+        span("a", True).alias("q_start"), span("a", False).alias("q_end"),
+        F.when(F.col("a_strand") == F.col("b_strand"), "+").otherwise("-").alias("strand"),
+        name("b").alias("t_name"), F.col("b_read_len").alias("t_len"),
+        span("b", True).alias("t_start"), span("b", False).alias("t_end"),
+        F.expr("(9 * (hi - lo)) div 10").alias("n_match"), aln.alias("aln_len"),
+    )
+
+
+def swapped(rows: DataFrame) -> DataFrame:
+    """Query and target exchanged."""
+    return rows.select(
+        "line_no",
+        F.col("t_name").alias("q_name"), F.col("t_len").alias("q_len"),
+        F.col("t_start").alias("q_start"), F.col("t_end").alias("q_end"), "strand",
+        F.col("q_name").alias("t_name"), F.col("q_len").alias("t_len"),
+        F.col("q_start").alias("t_start"), F.col("q_end").alias("t_end"), "n_match", "aln_len",
+    )
+
+
+def paf_dual(rows: DataFrame) -> DataFrame:
+    twice = F.col("line_no") * 2
+    return rows.withColumn("line_no", twice).unionByName(swapped(rows).withColumn("line_no", twice + 1))
+
+
+def _ids(rows: DataFrame):
+    number = lambda c: F.substring_index(c, "_", -1).cast("long")
+    return number("q_name"), number("t_name")
+
+
+def paf_mixed(rows: DataFrame) -> DataFrame:
+    """About 40 % of the rows with query and target exchanged."""
+    a, b = _ids(rows)
+    turn = (a * 31 + b * 17) % 5 < 2
+    return rows.filter(~turn).unionByName(swapped(rows.filter(turn)))
+
+
+def paf_noisy(rows: DataFrame) -> DataFrame:
+    """Overhanging ends and reads covered from one side only."""
+    a, b = _ids(rows)
+    cut = ((a % 50 == 17) | (b % 50 == 17)) & (F.col("aln_len") >= 2500)
+    shift = F.when((a * 7 + b * 13) % 29 == 0, 400).otherwise(0)
+    kept = rows.filter(~cut).withColumn("_s", shift)
+    return kept.select(
+        "line_no", "q_name", "q_len", (F.col("q_start") + F.col("_s")).alias("q_start"),
+        (F.col("q_end") - F.col("_s")).alias("q_end"), "strand", "t_name", "t_len",
+        (F.col("t_start") + F.col("_s")).alias("t_start"), (F.col("t_end") - F.col("_s")).alias("t_end"),
+        "n_match", "aln_len",
+    )
+
+
+def with_self_rows(rows: DataFrame, reads: DataFrame) -> DataFrame:
+    """Adds a whole-read self overlap for every tenth read."""
+    name = F.concat(F.lit("read_"), F.col("read_id").cast("string"))
+    own = reads.filter(F.col("read_id") % 10 == 0).select(
+        (F.col("read_id") * 16).alias("line_no"), name.alias("q_name"), F.col("read_len").alias("q_len"),
+        F.lit(0).cast("long").alias("q_start"), F.col("read_len").alias("q_end"), F.lit("+").alias("strand"),
+        name.alias("t_name"), F.col("read_len").alias("t_len"), F.lit(0).cast("long").alias("t_start"),
+        F.col("read_len").alias("t_end"), F.col("read_len").alias("n_match"), F.col("read_len").alias("aln_len"),
+    )
+    return rows.unionByName(own)
+
+
+def paf_lines(rows: DataFrame) -> DataFrame:
+    """Text lines as a file would hold them."""
+    fields = ["q_name", "q_len", "q_start", "q_end", "strand", "t_name", "t_len", "t_start", "t_end", "n_match", "aln_len"]
+    return rows.select(
+        "line_no",
+        F.concat_ws("\t", *[F.col(c).cast("string") for c in fields], F.lit("255"), F.lit("tp:A:S")).alias("value"),
+    )
+
+
+def blasr_lines(rows: DataFrame) -> DataFrame:
+    """The same overlaps as BLASR-style text; names use a dot, targets are in the query's frame."""
+    a, b = _ids(rows)
+    flip = F.col("strand") == "-"
+    t_start = F.when(flip, F.col("t_len") - F.col("t_end")).otherwise(F.col("t_start"))
+    t_end = F.when(flip, F.col("t_len") - F.col("t_start")).otherwise(F.col("t_end"))
+    dotted = lambda i: F.concat(F.lit("read."), i.cast("string"))
+    values = [
+        dotted(a), dotted(b), F.lit("0"), F.when(flip, "1").otherwise("0"), -F.col("n_match"), F.lit("90.0"),
+        t_start, t_end, F.col("t_len"), F.col("q_start"), F.col("q_end"), F.col("q_len"),
+    ]
+    return rows.select("line_no", F.concat_ws(" ", *[v.cast("string") for v in values]).alias("value"))
+
+
+def mhap_lines(rows: DataFrame) -> DataFrame:
+    """The same overlaps as MHAP text, target on its own strand."""
+    a, b = _ids(rows)
+    values = [
+        a, b, F.lit("0.1"), F.lit("50"), F.lit("0"), F.col("q_start"), F.col("q_end"), F.col("q_len"),
+        F.when(F.col("strand") == "-", "1").otherwise("0"), F.col("t_start"), F.col("t_end"), F.col("t_len"),
+    ]
+    return rows.select("line_no", F.concat_ws(" ", *[v.cast("string") for v in values]).alias("value"))
+
+
+TILE = 32
+
+
+def genome_slice(start, end):
+    """Bases [start, end) of the synthetic genome: md5 text of the tile number, digit by digit."""
+    first, last = F.floor(start / TILE), F.floor((end - 1) / TILE)
+    tiles = F.transform(
+        F.sequence(first, last),
+        lambda j: F.translate(F.md5(j.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"),
+    )
+    return F.concat_ws("", tiles).substr((start - first * TILE + 1).cast("int"), (end - start).cast("int"))
+
+
+def sim_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.functions.sequences import reverse_complement
+
+    reads = sim_reads(spark, sf_dir)
+    forward = genome_slice(F.col("g_start"), F.col("g_end"))
+    return reads.select(
+        "read_id",
+        F.when(F.col("strand") == 1, forward).otherwise(reverse_complement(forward)).alias("seq"),
+    )
+
+
+def true_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known directions as one component."""
+    return sim_reads(spark, sf_dir).select(
+        F.lit(0).cast("long").alias("component"), "read_id", F.col("strand").alias("dir")
+    )
+
+
+def true_layout(spark: SparkSession, sf_dir: str, bin_size: int = 50) -> DataFrame:
+    """Reads binned into contigs by id; odd contigs are turned round."""
+    contig = F.floor(F.col("read_id") / bin_size)
+    r = sim_reads(spark, sf_dir).withColumn("contig_id", contig)
+    # bins hold at most `bin_size` reads, so these per-contig totals stay small
+    box = r.groupBy("contig_id").agg(
+        F.min("g_start").alias("lo"), F.max("g_end").alias("hi"), F.count("*").alias("n")
+    )
+    odd = F.col("contig_id") % 2 == 1
+    placed = r.join(box, "contig_id").select(
+        "contig_id", "read_id",
+        F.when(odd, F.col("hi") - F.col("g_end")).otherwise(F.col("g_start") - F.col("lo")).alias("start"),
+        F.when(odd, -F.col("strand")).otherwise(F.col("strand")).alias("dir"),
+        F.col("read_len").alias("len"), "n",
+    )
+    from weftline.operators.ranks import rank_in_group
+
+    return rank_in_group(placed, "contig_id", ["start", "read_id"])
