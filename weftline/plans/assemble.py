@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import AssemblyConfig
-from weftline.operators import chimera, chains, contigs, equations, layout as placing, orient, overlaps, robust
+from weftline.functions.sequences import reverse_complement
+from weftline.operators import blocks, chains, chimera, consensus, contigs, equations, orient, overlaps, robust, stitch
+from weftline.operators import layout as placing
 from weftline.operators.forest import spanning_orientation
 from weftline.session import materialise
 
@@ -102,3 +104,24 @@ def assemble_component(paf: DataFrame, config: AssemblyConfig = AssemblyConfig(r
 def iterate_contigs(rows: DataFrame, graph: Graph, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
     """Split given positions (layout, read_id, start, dir, len) and merge once more."""
     return merge_unturned(_split(rows, graph, config, 1000), graph, 200.0, 1000.0, config)
+
+
+def consensus_pieces(layout: DataFrame, reads: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
+    """Numbered contig pieces from laid-out reads and their sequences."""
+    width, overlap = config.block_width, config.block_overlap
+    placed = placing.rezeroed(layout.filter(F.col("n") >= config.min_layout_reads), "contig_id")
+    cut = blocks.slices(placed, reads, width, overlap)
+    made = consensus.block_consensus(cut, config.scale.poa_depth)
+    if config.compat:
+        # the first read opens the contig: whole when forward, its first bases when reversed
+        first = blocks.with_sequences(placed.filter("rank = 0"), reads)
+        opening = F.when(F.col("dir") == 1, F.col("seq")).otherwise(
+            reverse_complement("seq").substr(F.lit(1), F.lit(overlap))
+        )
+        made = made.unionByName(first.select("contig_id", F.lit(-1).cast("long").alias("block"), opening.alias("cns")))
+    return stitch.number_contigs(stitch.contig_pieces(made, width, overlap, config.join_min_score))
+
+
+def assemble(paf: DataFrame, reads: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
+    """Contig pieces (contig_no, contig_id, segment, block, offset, seq)."""
+    return consensus_pieces(layout_contigs(paf, config), reads, config)
