@@ -177,15 +177,15 @@ def true_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def true_layout(spark: SparkSession, sf_dir: str, bin_size: int = 50) -> DataFrame:
-    """Reads binned into contigs by id; odd contigs are turned round."""
+def true_layout(spark: SparkSession, sf_dir: str, bin_size: int = 50, turned: bool = True) -> DataFrame:
+    """Reads binned into contigs by id; odd contigs are turned round if wanted."""
     contig = F.floor(F.col("read_id") / bin_size)
     r = sim_reads(spark, sf_dir).withColumn("contig_id", contig)
     # bins hold at most `bin_size` reads, so these per-contig totals stay small
     box = r.groupBy("contig_id").agg(
         F.min("g_start").alias("lo"), F.max("g_end").alias("hi"), F.count("*").alias("n")
     )
-    odd = F.col("contig_id") % 2 == 1
+    odd = (F.col("contig_id") % 2 == 1) & F.lit(turned)
     placed = r.join(box, "contig_id").select(
         "contig_id", "read_id",
         F.when(odd, F.col("hi") - F.col("g_end")).otherwise(F.col("g_start") - F.col("lo")).alias("start"),
@@ -195,3 +195,21 @@ def true_layout(spark: SparkSession, sf_dir: str, bin_size: int = 50) -> DataFra
     from weftline.operators.ranks import rank_in_group
 
     return rank_in_group(placed, "contig_id", ["start", "read_id"])
+
+
+def whole_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads at their true places as one contig."""
+    from weftline.operators.ranks import rank_in_group
+
+    rows = sim_reads(spark, sf_dir).select(
+        F.lit(0).cast("long").alias("contig_id"), "read_id", F.col("g_start").alias("start"),
+        F.col("strand").alias("dir"), F.col("read_len").alias("len"),
+    )
+    return rank_in_group(rows, "contig_id", ["start", "read_id"], size="n")
+
+
+def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA records as the text reader hands them over, wrapped at 80 columns."""
+    body = F.regexp_replace(F.lower("seq"), "(.{80})(?=.)", "$1\n")
+    name = F.concat(F.lit(">read_"), F.col("read_id").cast("string"), F.lit("_x simulated read"))
+    return sim_sequences(spark, sf_dir).select(F.concat(name, F.lit("\n"), body, F.lit("\n")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ranks import global_rank, running
@@ -23,7 +23,7 @@ def assembly_stats(lengths: DataFrame, reference_length: int | None = None) -> D
     return rows.agg(
         F.count("*").alias("n_contigs"), F.sum("length").cast("long").alias("total_length"), F.max("length").alias("largest"),
         at(50).alias("a50"), at(90).alias("a90"),
-        F.floor(F.sum(F.col("length") * F.col("length")) / F.sum("length")).cast("long").alias("aun"),
+        F.floor(F.sum(F.col("length").cast("double") * F.col("length")) / F.sum("length")).cast("long").alias("aun"),
     ).select(
         "n_contigs", "total_length", "largest", F.col("a50.length").alias("n50"), (F.col("a50.place") + 1).alias("l50"),
         F.col("a90.length").alias("n90"), (F.col("a90.place") + 1).alias("l90"), "aun",
