@@ -24,11 +24,13 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
         "ranked",
     )
     slot = F.shiftright("_mid", _LOCAL_BITS)
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(slot.alias("_slot")).count()
-        .select("_slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    )
+    # at most one row per shuffle partition, so the offsets are safe on the driver
+    counts = sorted(placed.groupBy(slot.alias("slot")).count().collect())
+    rows, before = [], 0
+    for slot_no, count in counts:
+        rows.append((slot_no, before))
+        before += count
+    offsets = df.sparkSession.createDataFrame(rows, "_slot long, _before long")
     local = F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)
     return (
         placed.withColumn("_slot", slot)
@@ -40,7 +42,7 @@ def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame
 
 def rank_in_group(df: DataFrame, group: str, keys: list[str], name: str = "rank", size: str | None = None) -> DataFrame:
     """0-based position inside `group` along `keys`, optionally with the group's size."""
-    ranked = materialise(global_rank(df, [group, *keys], "_rank"), "group-rank")
+    ranked = global_rank(df, [group, *keys], "_rank")
     first = ranked.groupBy(group).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
     out = ranked.join(first, group).withColumn(name, F.col("_rank") - F.col("_first"))
     if size:

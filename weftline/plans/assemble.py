@@ -61,18 +61,22 @@ def contig_round(current: DataFrame, graph: Graph, config: AssemblyConfig) -> Da
         spanning_orientation(contigs.contig_votes(ends), config.link_strength, config.scale.finish_edges), "contig-facing"
     )
     steps = materialise(contigs.median_equations(contigs.contig_offsets(ends, facing, config.compat), config.min_links), "contig-equations")
+    if steps.isEmpty() and not config.compat:
+        return current
     placed = robust.robust_fit(steps, *config.contig_thresholds, gate="p95", bounds=config.scale).select("layout", "node", "x")
-    # a contig whose equations all went stays as it is; so does, unless in compat mode, one without links
-    rest = facing.select("node", "root")
+    facing = facing.select("node", "root", "dir")
     if config.compat:
-        with_equations = steps.select(F.col("component").alias("root")).distinct()
-        rest = rest.join(with_equations, "root", "left_semi").select("node")
-    else:
-        rest = current.filter("rank = 0").select(F.col("contig_id").alias("node"))
-    alone = rest.join(placed, "node", "left_anti").select(F.col("node").alias("layout"), "node", F.lit(0).cast("long").alias("x"))
-    turns = rest.join(facing.select("node", "dir"), "node", "left").select("node", F.coalesce("dir", F.lit(1)).alias("dir"))
-    merged = contigs.merge_contigs(current, placed.unionByName(alone), turns)
-    return _split(materialise(merged, "merged"), graph, config, config.split_sd * 2)
+        # contigs survive only in a component with equations; those outside the fit stay single
+        fitted = steps.select(F.col("component").alias("root")).distinct()
+        alone = facing.join(fitted, "root", "left_semi").join(placed, "node", "left_anti")
+        placed = placed.unionByName(alone.select(F.col("node").alias("layout"), "node", F.lit(0).cast("long").alias("x")))
+    merged = materialise(contigs.merge_contigs(current, placed, facing.select("node", "dir")), "merged")
+    split = _split(merged, graph, config, config.split_sd * 2)
+    if config.compat:
+        return split
+    # a contig that joined nothing is one chain already and stays as it is
+    untouched = current.join(placed.select(F.col("node").alias("contig_id")), "contig_id", "left_anti")
+    return materialise(split.unionByName(untouched.select(*split.columns)), "contigs")
 
 
 def layout_contigs(paf: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
@@ -80,7 +84,9 @@ def layout_contigs(paf: DataFrame, config: AssemblyConfig = AssemblyConfig()) ->
     graph = load_graph(paf, config)
     current = read_level(graph, config)
     for _ in range(1, config.rounds):
-        current = contig_round(current, graph, config)
+        before, current = current, contig_round(current, graph, config)
+        if current is before:
+            break
     return current
 
 

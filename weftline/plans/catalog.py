@@ -93,7 +93,7 @@ def inconsistent_overlaps(spark, sf):
 # Chimera detection
 
 def reach_by_end(spark, sf):
-    return chimera.max_reach(chimera.paf_reach(_noisy(spark, sf)))
+    return chimera.max_reach(chimera.paf_reach(_noisy(spark, sf))).fillna(0)
 
 
 def chimera_candidates(spark, sf):
@@ -138,7 +138,7 @@ def edge_weight_last(spark, sf):
 
 
 def edge_links_first(spark, sf):
-    return overlaps.first_links(overlaps.usable(fx.paf_mixed(_noisy(spark, sf)), HANGING_OUT))
+    return overlaps.first_links(overlaps.usable(fx.paf_mixed(_noisy(spark, sf)), HANGING_OUT)).fillna(-1)
 
 
 def orientation_votes(spark, sf):

@@ -168,7 +168,7 @@ BODIES = {
     "dangling_filter": "SELECT line_no, a, b, w FROM un",
     "inconsistent_overlaps": """SELECT o.line_no, o.a, o.b FROM un o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b
       WHERE (b_orient = 0) <> (CASE WHEN a % 11 = 0 THEN -s.strand ELSE s.strand END = CASE WHEN b % 11 = 0 THEN -t.strand ELSE t.strand END)""",
-    "reach_by_end": "SELECT read_id, front, back FROM reach",
+    "reach_by_end": "SELECT read_id, coalesce(front, 0) AS front, coalesce(back, 0) AS back FROM reach",
     "chimera_candidates": "SELECT * FROM chim",
     "chimera_filtered_overlaps": "SELECT line_no, a, b, w FROM un WHERE a NOT IN (SELECT read_id FROM chim) AND b NOT IN (SELECT read_id FROM chim)",
     "low_quality_counts": """SELECT read_id, count(*) AS n_low FROM (SELECT CAST(unnest([split_part(q_name, '_', 2), split_part(t_name, '_', 2)]) AS BIGINT) AS read_id
@@ -178,8 +178,8 @@ BODIES = {
     "read_lengths": """SELECT read_id, read_len AS len FROM sim WHERE read_id % 10 = 0 OR read_id IN (SELECT read_id FROM lens)""",
     "overlaps_per_pair": "SELECT a, b, count(*) AS n, min(line_no) AS first_line, max(line_no) AS last_line FROM ud GROUP BY a, b",
     "edge_weight_last": f"""SELECT least(a, b) AS u, greatest(a, b) AS v, arg_max({_SW}, line_no) AS sw, min(line_no) AS first_line FROM ud GROUP BY 1, 2""",
-    "edge_links_first": f"""SELECT least(a, b) AS u, greatest(a, b) AS v, arg_min({_SW}, line_no) AS sw, min(CASE WHEN a < b THEN line_no END) AS uv_line,
-      min(CASE WHEN a > b THEN line_no END) AS vu_line, count(*) AS n FROM umn GROUP BY 1, 2""",
+    "edge_links_first": f"""SELECT least(a, b) AS u, greatest(a, b) AS v, arg_min({_SW}, line_no) AS sw, coalesce(min(CASE WHEN a < b THEN line_no END), -1) AS uv_line,
+      coalesce(min(CASE WHEN a > b THEN line_no END), -1) AS vu_line, count(*) AS n FROM umn GROUP BY 1, 2""",
     "orientation_votes": f"SELECT u, v, {_VOTES} FROM (SELECT least(a, b) AS u, greatest(a, b) AS v, {_SW} AS sw FROM ud) GROUP BY u, v",
     "vote_probability": f"""SELECT u, v, CAST(round(1000000 / (1 + exp(-CAST(sum(sw) AS DOUBLE) / 100))) AS BIGINT) AS p
       FROM (SELECT a AS u, b AS v, {_SW} AS sw FROM un) GROUP BY u, v""",
@@ -230,7 +230,7 @@ BODIES = {
     "block_joins": """SELECT block, CAST(600 AS BIGINT) AS tail, least(600, hi - lo) AS score, CAST(600 AS BIGINT) AS left_end, least(600, hi - lo) AS right_end
       FROM cns WHERE block > 0""",
     "stitched_pieces": f"""SELECT CAST(1 AS BIGINT) AS contig_no, block, lo AS "offset", hi - lo AS bases, md5({_genome('lo', 'hi')}) AS digest FROM (
-      SELECT block, least(cns.lo, box.hi - 600) AS lo, coalesce(least(lead(cns.lo) OVER (ORDER BY block), box.hi - 600), box.hi) AS hi FROM cns, box)""",
+      SELECT block, least(cns.lo, box.hi - 600) AS lo, CASE WHEN lead(cns.lo) OVER (ORDER BY block) IS NULL THEN box.hi ELSE least(lead(cns.lo) OVER (ORDER BY block), box.hi - 600) END AS hi FROM cns, box)""",
     "contig_fasta": f"""SELECT CAST(1 AS BIGINT) AS contig_no, CAST(-1 AS BIGINT) AS line_no, '>contig1' AS text UNION ALL
       SELECT CAST(1 AS BIGINT), i, {_genome('i * 100', 'least(i * 100 + 100, hi)')} FROM box, (SELECT unnest(range(0, (SELECT (hi + 99) // 100 FROM box))) AS i)""",
     "layout_export": f"""WITH size AS (SELECT contig_id, max(start + len) AS length, (max(start + len) + {_EXPORT} - 1) // {_EXPORT} AS edges FROM tl GROUP BY contig_id),
