@@ -15,7 +15,7 @@ def _random_graph(seed, n=60, m=90):
     rng = random.Random(seed)
     truth = {v: (rng.choice((-1, 1)), rng.randint(0, 999)) for v in range(n)}
     pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
-    return truth, [(u, v, float(rng.randint(1, 9))) for u, v in sorted(pairs)]
+    return truth, [(u, v, float(w)) for w, (u, v) in enumerate(rng.sample(sorted(pairs), len(pairs)))]
 
 
 @pytest.mark.parametrize("bound", [0, 100_000])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 NEIGHBOURS = 12
 MIN_OVERLAP = 1000
 
@@ -162,7 +164,8 @@ def genome_slice(start, end):
 def sim_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.functions.sequences import reverse_complement
 
-    reads = sim_reads(spark, sf_dir)
+    # making the bases is the costly part, so the small table is spread first
+    reads = spread(sim_reads(spark, sf_dir), "read_id")
     forward = genome_slice(F.col("g_start"), F.col("g_end"))
     return reads.select(
         "read_id",

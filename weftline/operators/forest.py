@@ -18,15 +18,15 @@ from weftline.session import materialise
 _MAP = "node long, parent long, sgn int, shift double"
 
 
-def _lightest_first_key():
-    """Strict order on edges: heavier wins, then the smaller original end points."""
-    return [F.col("w"), -F.col("eu"), -F.col("ev")]
+def _heaviest_key():
+    """Strict order on edges: heavier wins; among equals a hash keeps trees shallow."""
+    return [F.col("w"), F.xxhash64("eu", "ev"), -F.col("eu"), -F.col("ev")]
 
 
 def _one_per_pair(edges: DataFrame) -> DataFrame:
-    best = F.max(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_lightest_first_key())], "sgn", "shift"))
+    best = F.max(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_heaviest_key())], "sgn", "shift"))
     return edges.groupBy("u", "v").agg(best.alias("m")).select(
-        "u", "v", F.col("m.k0").alias("w"), (-F.col("m.k1")).alias("eu"), (-F.col("m.k2")).alias("ev"),
+        "u", "v", F.col("m.k0").alias("w"), (-F.col("m.k2")).alias("eu"), (-F.col("m.k3")).alias("ev"),
         "m.sgn", "m.shift",
     )
 
@@ -42,14 +42,14 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 def _best_choice(edges: DataFrame) -> DataFrame:
     """Per root its best edge, from partial aggregates over both directions."""
-    key = [c.alias(f"k{i}") for i, c in enumerate(_lightest_first_key())]
+    key = [c.alias(f"k{i}") for i, c in enumerate(_heaviest_key())]
     there = edges.select(F.col("u").alias("node"), F.struct(*key, F.col("v").alias("to"), "sgn", "shift").alias("c"))
     back = edges.select(
         F.col("v").alias("node"),
         F.struct(*key, F.col("u").alias("to"), "sgn", (-F.col("shift")).alias("shift")).alias("c"),
     )
     return there.unionByName(back).groupBy("node").agg(F.max("c").alias("c")).select(
-        "node", F.col("c.to").alias("to"), F.col("c.k1").alias("k1"), F.col("c.k2").alias("k2"),
+        "node", F.col("c.to").alias("to"), F.col("c.k2").alias("k1"), F.col("c.k3").alias("k2"),
         F.col("c.sgn").alias("sgn"), F.col("c.shift").alias("shift"),
     )
 
@@ -107,7 +107,7 @@ def _rewrite(edges: DataFrame, parents: DataFrame) -> DataFrame:
 
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge the remaining, bounded edge list, best edge first."""
-    pdf = pdf.sort_values(["w", "eu", "ev"], ascending=[False, True, True])
+    pdf = pdf.sort_values(["w", "h", "eu", "ev"], ascending=[False, False, True, True])
     up: dict[int, tuple[int, int, float]] = {}
 
     def find(n):
@@ -152,7 +152,7 @@ def spanning_forest(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
         rest = materialise(_rewrite(rest, parents), "forest-edges")
         left = rest.count()
     if left or not maps:
-        maps.append(rest.groupBy().applyInPandas(_finish, _MAP))
+        maps.append(rest.withColumn("h", F.xxhash64("eu", "ev")).groupBy().applyInPandas(_finish, _MAP))
     final = maps.pop()
     while maps:
         final = _follow(maps.pop(), final).drop("moved")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.config import ScaleBounds
 from weftline.operators.elimination import SliceSolver
 from weftline.operators.forest import spanning_forest
-from weftline.session import materialise
+from weftline.session import materialise, spread
 
 _STILL = 10.0  # fixed value: estimates moving less than this have settled
 _FIT = "component long, layout long, node long, x long"
@@ -126,26 +126,29 @@ def exceeds(value, share: float, limit, strict: bool = True):
     return F.when(c <= k, True).when((c >= k + 2) | (spot == k) | high.isNull(), False).otherwise(over)
 
 
+def _tree(eq: DataFrame, bounds: ScaleBounds) -> DataFrame:
+    """Parts of the equation graph and coordinates along a spanning tree of each."""
+    edges = eq.select(F.col("i").alias("u"), F.col("j").alias("v"), F.lit(1.0).alias("w"), F.lit(1).alias("sgn"), F.col("y").alias("shift"))
+    return materialise(spanning_forest(edges, bounds.finish_edges), "fit-tree")
+
+
 class _Large:
     """Iterated fit over components too large for one task."""
 
-    def __init__(self, eq: DataFrame, bounds: ScaleBounds):
-        self.bounds = bounds
-        tree = materialise(self._tree(eq), "fit-tree")
+    def __init__(self, eq: DataFrame, bounds: ScaleBounds, tree: DataFrame):
         self.places = tree
         a = tree.select(F.col("node").alias("i"), F.col("root").alias("part"), F.col("shift").alias("xi"))
         b = tree.select(F.col("node").alias("j"), F.col("shift").alias("xj"))
         self.eq = materialise(
             eq.join(a, "i").join(b, "j").withColumn("rest", F.col("y") - (F.col("xj") - F.col("xi"))).drop("xi", "xj"), "fit-equations"
         )
+        self.nodes = materialise(
+            self.eq.select("component", "part", F.explode(F.array("i", "j")).alias("node")).distinct(), "fit-nodes"
+        )
         self.solver = SliceSolver(
             tree.select("node", F.col("root").alias("part"), F.col("shift").alias("pos")), bounds.slice_nodes
         )
 
-    def _tree(self, eq: DataFrame) -> DataFrame:
-        edges = eq.select(F.col("i").alias("u"), F.col("j").alias("v"), F.lit(1.0).alias("w"), F.lit(1).alias("sgn"), F.col("y").alias("shift"))
-        return spanning_forest(edges, self.bounds.finish_edges)
-
     def solve(self, weighted: DataFrame) -> DataFrame:
         """Corrections to the tree coordinates."""
         return self.solver.solve(weighted.select("i", "j", F.col("rest").alias("y"), "w"))
@@ -158,8 +161,7 @@ class _Large:
 
     def settled(self, before: DataFrame, after: DataFrame) -> DataFrame:
         """component -> whether 95 % of its estimates moved less than the limit."""
-        nodes = self.eq.select("component", "part", F.explode(F.array("i", "j")).alias("node")).distinct()
-        change = nodes.join(before.withColumnRenamed("x", "x0"), "node").join(after, "node").withColumn("d", F.col("x") - F.col("x0"))
+        change = self.nodes.join(before.withColumnRenamed("x", "x0"), "node").join(after, "node").withColumn("d", F.col("x") - F.col("x0"))
         mean = change.groupBy("part").agg(F.avg("d").alias("m"))
         drift = F.abs(F.col("d") - F.col("m"))
         return change.join(mean, "part").groupBy("component").agg(
@@ -168,7 +170,7 @@ class _Large:
 
 
 def _fit_large(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFrame:
-    fit = _Large(eq, bounds)
+    fit = _Large(eq, bounds, _tree(eq, bounds))
     share = _GATES[gate]
     over = exceeds(F.col("r"), share, thr2)
     base = F.col("scale") * F.col("scale")
@@ -200,11 +202,14 @@ def _fit_large(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) ->
     kept = finished[0]
     for more in finished[1:]:
         kept = kept.unionByName(more)
-    kept = materialise(kept.filter(F.col("r") <= thr2).select("component", "i", "j", "y", "scale", "line_no"), "kept")
-    refit = _Large(kept, bounds)
-    dx = refit.solve(refit.eq.withColumn("w", F.lit(1.0)))
-    owner = kept.select("component", F.explode(F.array("i", "j")).alias("node")).distinct()
-    return refit.places.join(dx, "node").join(owner, "node").select(
+    kept = materialise(kept.filter(F.col("r") <= thr2).select("component", "i", "j", "y", "rest", "scale", "line_no"), "kept")
+    tree = _tree(kept, bounds)
+    same = [t.agg(F.count("*"), F.countDistinct("root")).first() for t in (tree, fit.places)]
+    # with the parts unchanged the slices still serve; otherwise they are drawn anew
+    refit = fit if same[0] == same[1] else _Large(kept.drop("rest"), bounds, tree)
+    source = kept if refit is fit else refit.eq
+    dx = refit.solve(source.withColumn("w", F.lit(1.0)))
+    return refit.places.join(dx, "node").join(refit.nodes.select("component", "node"), "node").select(
         "component", F.col("root").alias("layout"), "node", F.rint(F.col("shift") + F.col("x")).cast("long").alias("x")
     )
 
@@ -232,7 +237,7 @@ def robust_fit(eq: DataFrame, thr1: float, thr2: float, rounds: int, gate: str =
         packs = max(1, -(-work // bounds.fit_nodes))
         packed = rows.filter("small").withColumn("pack", F.pmod(F.hash("component"), F.lit(packs)))
         packed = packed.select("pack", "component", "i", "j", "y", "scale", "line_no")
-        results.append(packed.groupBy("pack").applyInPandas(_fit_pack(thr1, thr2, rounds, gate), _FIT))
+        results.append(spread(packed, "pack").groupBy("pack").applyInPandas(_fit_pack(thr1, thr2, rounds, gate), _FIT))
     if n_large:
         large = materialise(rows.filter("not small").select("component", "i", "j", "y", "scale", "line_no"), "large-equations")
         results.append(_fit_large(large, thr1, thr2, rounds, gate, bounds))

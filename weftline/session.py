@@ -49,3 +49,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by `keys` over all shuffle partitions.
+
+    Grouped Python work costs far more than its bytes suggest, so the partition count is
+    stated rather than left to size-based merging; the grouping reuses the shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
