@@ -225,16 +225,16 @@ def robust_fit(eq: DataFrame, thr1: float, thr2: float, rounds: int, gate: str =
     nodes = eq.select("component", F.explode(F.array("i", "j")).alias("node")).distinct().groupBy("component").agg(F.count("*").alias("n_nodes"))
     small = (F.col("n_nodes") <= bounds.fit_nodes) & (F.col("n_eq") <= bounds.fit_equations)
     sizes = materialise(sizes.join(nodes, "component").withColumn("small", small), "fit-sizes")
-    n_small, n_large, work = sizes.agg(
-        F.count(F.when(F.col("small"), 1)), F.count(F.when(~F.col("small"), 1)),
-        F.coalesce(F.sum(F.when(F.col("small"), F.col("n_nodes"))), F.lit(0)),
+    of_small = lambda c: F.coalesce(F.sum(F.when(F.col("small"), F.col(c))), F.lit(0))
+    n_small, n_large, nodes_small, eq_small = sizes.agg(
+        F.count(F.when(F.col("small"), 1)), F.count(F.when(~F.col("small"), 1)), of_small("n_nodes"), of_small("n_eq")
     ).first()
     rows = eq.join(sizes.select("component", "mean_scale", "small"), "component").withColumn(
         "scale", F.col("scale") / F.col("mean_scale")
     )
     results = []
     if n_small or not n_large:
-        packs = max(1, -(-work // bounds.fit_nodes))
+        packs = max(1, -(-nodes_small // bounds.fit_nodes), -(-eq_small // bounds.fit_equations))
         packed = rows.filter("small").withColumn("pack", F.pmod(F.hash("component"), F.lit(packs)))
         packed = packed.select("pack", "component", "i", "j", "y", "scale", "line_no")
         results.append(spread(packed, "pack").groupBy("pack").applyInPandas(_fit_pack(thr1, thr2, rounds, gate), _FIT))

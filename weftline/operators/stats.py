@@ -15,12 +15,10 @@ def assembly_stats(lengths: DataFrame, reference_length: int | None = None) -> D
     """
     ranked = global_rank(lengths.withColumn("_minus", -F.col("length")), ["_minus", "contig_no"], "place").withColumn("all", F.lit(0))
     summed = running(ranked, ["all"], "place", {"upto": ("sum", "length", "up")})
-    total = lengths.agg(F.sum("length").alias("total"))
-    rows = summed.crossJoin(F.broadcast(total))
-    goal = F.lit(reference_length) if reference_length else F.col("total")
+    goal = F.lit(reference_length or lengths.agg(F.sum("length")).first()[0])
     reach = lambda share: F.when(F.col("upto") * 100 >= goal * share, F.struct(F.col("place"), F.col("length")))
     at = lambda share: F.min(reach(share))
-    return rows.agg(
+    return summed.agg(
         F.count("*").alias("n_contigs"), F.sum("length").cast("long").alias("total_length"), F.max("length").alias("largest"),
         at(50).alias("a50"), at(90).alias("a90"),
         F.floor(F.sum(F.col("length").cast("double") * F.col("length")) / F.sum("length")).cast("long").alias("aun"),

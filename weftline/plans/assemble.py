@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import AssemblyConfig
+from weftline.functions import geometry as G
 from weftline.functions.sequences import reverse_complement
 from weftline.operators import blocks, chains, chimera, consensus, contigs, equations, orient, overlaps, robust, stitch
 from weftline.operators import layout as placing
@@ -131,3 +132,21 @@ def consensus_pieces(layout: DataFrame, reads: DataFrame, config: AssemblyConfig
 def assemble(paf: DataFrame, reads: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
     """Contig pieces (contig_no, contig_id, segment, block, offset, seq)."""
     return consensus_pieces(layout_contigs(paf, config), reads, config)
+
+
+def overlap_counts(paf: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
+    """(metric, value): what the overlap filters keep and drop, in one pass."""
+    rows = overlaps.normalise(paf, config.delimiter)
+    own = F.col("a") == F.col("b")
+    dangling = ~own & (G.dangling_length() >= config.hanging_out)
+    count = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    sums = rows.agg(F.count("*").alias("records"), count(own, "self"), count(dangling, "dangling"), count(~own & ~dangling, "usable"))
+    return sums.unpivot([], ["records", "self", "dangling", "usable"], "metric", "value")
+
+
+def run_counts(paf: DataFrame, layout: DataFrame, pieces: DataFrame, config: AssemblyConfig = AssemblyConfig()) -> DataFrame:
+    """Counts of a finished run as (metric, value)."""
+    placed = layout.agg(F.count("*").alias("placed_reads"), F.countDistinct("contig_id").alias("layouts"))
+    made = pieces.agg(F.countDistinct("contig_no").alias("contigs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
+    wide = lambda df: df.unpivot([], df.columns, "metric", "value")
+    return overlap_counts(paf, config).unionByName(wide(placed)).unionByName(wide(made))

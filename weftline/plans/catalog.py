@@ -90,6 +90,11 @@ def inconsistent_overlaps(spark, sf):
     return equations.inconsistent_overlaps(_used(spark, sf), facing).select("line_no", "a", "b")
 
 
+def overlap_counts(spark, sf):
+    """Records kept and dropped by the overlap filters."""
+    return plan.overlap_counts(fx.with_self_rows(_noisy(spark, sf), fx.sim_reads(spark, sf)))
+
+
 # Chimera detection
 
 def reach_by_end(spark, sf):
@@ -451,7 +456,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         paf_parse, blasr_parse, mhap_parse, fasta_parse, overlap_normalise, overlap_weight, self_overlap_filter,
-        dangling_lengths, dangling_filter, inconsistent_overlaps, reach_by_end, chimera_candidates,
+        dangling_lengths, dangling_filter, overlap_counts, inconsistent_overlaps, reach_by_end, chimera_candidates,
         chimera_filtered_overlaps, low_quality_counts, blasr_chimera, mhap_chimera, read_lengths, overlaps_per_pair,
         edge_weight_last, edge_links_first, orientation_votes, vote_probability, read_offset, start_offset,
         equations_plain, equations_weighted, equations_indel, components, spanning_orientation, greedy_orientation,

@@ -166,6 +166,8 @@ BODIES = {
     "self_overlap_filter": f"SELECT line_no, a, b, w FROM ({_norm('selfy')}) WHERE a <> b",
     "dangling_lengths": f"SELECT line_no, {DANGLING} AS dangling FROM nn",
     "dangling_filter": "SELECT line_no, a, b, w FROM un",
+    "overlap_counts": f"""SELECT unnest(['records', 'self', 'dangling', 'usable']) AS metric, CAST(unnest([count(*), count(*) FILTER (a = b),
+      count(*) FILTER (a <> b AND {DANGLING} >= 80), count(*) FILTER (a <> b AND {DANGLING} < 80)]) AS BIGINT) AS value FROM ({_norm('selfy')})""",
     "inconsistent_overlaps": """SELECT o.line_no, o.a, o.b FROM un o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b
       WHERE (b_orient = 0) <> (CASE WHEN a % 11 = 0 THEN -s.strand ELSE s.strand END = CASE WHEN b % 11 = 0 THEN -t.strand ELSE t.strand END)""",
     "reach_by_end": "SELECT read_id, coalesce(front, 0) AS front, coalesce(back, 0) AS back FROM reach",

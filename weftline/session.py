@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_RUN = f"weftline-{uuid.uuid4().hex}"
 
 
 def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,11 +47,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     earlier rounds and the plans of iterative steps stay short.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Remove what this process has written with `materialise`; results read from it end too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by `keys` over all shuffle partitions.
 
