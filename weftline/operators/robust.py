@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import ScaleBounds
-from weftline.operators.elimination import SliceSolver
+from weftline.operators.elimination import SliceSolver, condense, dense_laplacian, recover
 from weftline.operators.forest import spanning_forest
 from weftline.session import materialise, spread
 
+_WIDEST = 4096  # largest dense block of the local solver
 _STILL = 10.0  # fixed value: estimates moving less than this have settled
 _FIT = "component long, layout long, node long, x long"
 _GATES = {"p99": 0.99, "p95": 0.95}
@@ -35,31 +36,99 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _solve(n, i, j, y, w, part) -> np.ndarray:
-    """Weighted solution with zero mean in every part."""
-    x = np.zeros(n)
-    for root in np.unique(part):
-        own = np.flatnonzero(part == root)
-        rows = part[i] == root
-        if own.size < 2 or not rows.any():
-            continue
-        p, q = np.searchsorted(own, i[rows]), np.searchsorted(own, j[rows])
-        wr, yr = w[rows], y[rows]
-        full = np.full((own.size, own.size), 1.0 / own.size)
-        np.add.at(full, (p, p), wr)
-        np.add.at(full, (q, q), wr)
-        np.add.at(full, (p, q), -wr)
-        np.add.at(full, (q, p), -wr)
-        for _ in range(2):
-            b = np.zeros(own.size)
-            pull = wr * (yr - (x[own][q] - x[own][p]))
-            np.add.at(b, q, pull)
-            np.add.at(b, p, -pull)
-            x[own] += np.linalg.solve(full, b)
-        x[own] -= x[own].mean()
+def _coordinates(n, p, q, y, part) -> np.ndarray:
+    """Breadth-first coordinates from the first node of every part."""
+    src, dst, step = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([y, -y])
+    by = np.argsort(src, kind="stable")
+    dst, step = dst[by], step[by]
+    first = np.searchsorted(src[by], np.arange(n + 1))
+    x, seen = np.zeros(n), part == np.arange(n)
+    front = np.flatnonzero(seen)
+    while front.size:
+        many = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        base = np.repeat(x[front], many)
+        new = ~seen[dst[at]]
+        front, pick = np.unique(dst[at][new], return_index=True)
+        x[front] = (base + step[at])[new][pick]
+        seen[front] = True
     return x
 
 
+def _summed(u, v, w, n):
+    """One entry per unordered pair."""
+    key, at = np.unique(np.minimum(u, v) * n + np.maximum(u, v), return_inverse=True)
+    return key // n, key % n, np.bincount(at, w, len(key))
+
+
+def _iterated(n, u, v, w, rhs, tolerance: float = 1e-12) -> np.ndarray:
+    """Conjugate gradients on the entries that still have edges."""
+    live = np.zeros(n, bool)
+    live[u] = live[v] = True
+    x, r = np.zeros(n), np.where(live, rhs, 0.0)
+    step, norm = r.copy(), r @ r
+    goal = tolerance**2 * norm
+    for _ in range(20 * n):
+        if norm <= goal:
+            break
+        flow = w * (step[u] - step[v])
+        pushed = np.bincount(u, flow, n) - np.bincount(v, flow, n)
+        alpha = norm / (step @ pushed)
+        x += alpha * step
+        r -= alpha * pushed
+        before, norm = norm, r @ r
+        step = r + norm / before * step
+    return x
+
+
+def _solve(n, p, q, y, w, part, x0, width: int = 192) -> np.ndarray:
+    """Weighted solution with zero mean in every part, slice by slice along x0."""
+    rest = y - (x0[q] - x0[p])
+    rhs = np.bincount(q, w * rest, n) - np.bincount(p, w * rest, n)
+    u, v, wt = _summed(p, q, w, n)
+    nodes, stack, x = np.lexsort((x0, part)), [], np.zeros(n)
+    anchor = part == np.arange(n)
+    while len(u):
+        place = np.full(n, -1)
+        place[nodes] = np.arange(len(nodes))
+        box = place // width
+        cross = box[u] != box[v]
+        keep = anchor.copy()
+        keep[u[cross]] = keep[v[cross]] = True
+        if width < len(nodes) and keep[nodes].sum() > 0.8 * len(nodes):
+            width *= 2
+            if width <= _WIDEST:
+                continue
+            # no order keeps this graph local; such graphs converge quickly instead
+            x = _iterated(n, u, v, wt, rhs)
+            x -= x[part]
+            break
+        inside = np.flatnonzero(~cross)
+        inside = inside[np.argsort(box[u[inside]], kind="stable")]
+        count = -(-len(nodes) // width)
+        edge_at = np.searchsorted(box[u[inside]], np.arange(count + 1))
+        fill = [(u[cross], v[cross], wt[cross])]
+        for k in range(count):
+            own, e = nodes[k * width:(k + 1) * width], inside[edge_at[k]:edge_at[k + 1]]
+            full = dense_laplacian(len(own), place[u[e]] - k * width, place[v[e]] - k * width, wt[e])
+            kept = keep[own]
+            stack.append((own, ~kept, kept, rhs[own], full))
+            small, shift = condense(full, ~kept, kept, rhs[own])
+            left = own[kept]
+            rhs[left] += shift
+            a, b = np.triu_indices(left.size, 1)
+            hit = -small[a, b] > 1e-14
+            fill.append((left[a[hit]], left[b[hit]], -small[a, b][hit]))
+        u, v, wt = _summed(*(np.concatenate(c) for c in zip(*fill)), n)
+        nodes = nodes[keep[nodes]]
+    for own, inner, kept, side, full in reversed(stack):
+        if inner.any():
+            x[own[inner]] = recover(full, inner, kept, side, x[own[kept]])
+    x += x0
+    mean = np.bincount(part, x, n) / np.maximum(np.bincount(part, minlength=n), 1)
+    return x - mean[part]
+
+
 def _fit_one(i, j, y, scale, thr1, thr2, rounds, gate):
     """Node ids, part labels and positions of one component."""
     ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -70,7 +139,8 @@ def _fit_one(i, j, y, scale, thr1, thr2, rounds, gate):
     def residuals(x):
         return scale * np.abs(y - (x[q] - x[p]))
 
-    x = _solve(len(ids), p, q, y, scale**2, part)
+    x0 = _coordinates(len(ids), p, q, y, part)
+    x = _solve(len(ids), p, q, y, scale**2, part, x0)
     r = residuals(x)
     level = thr2 + 10 if gate == "p99" else np.quantile(r, share)
     done = 0
@@ -78,7 +148,7 @@ def _fit_one(i, j, y, scale, thr1, thr2, rounds, gate):
         if gate == "p95":
             level = np.quantile(r, share)
         w = np.where(r > thr1, thr1 / np.maximum(r, thr1), 1.0)
-        moved = _solve(len(ids), p, q, y, w * scale**2, part)
+        moved = _solve(len(ids), p, q, y, w * scale**2, part, x0)
         r = residuals(moved)
         if gate == "p99":
             level = np.quantile(r, share)
@@ -90,7 +160,7 @@ def _fit_one(i, j, y, scale, thr1, thr2, rounds, gate):
     good = r <= thr2
     p, q, y = p[good], q[good], y[good]
     part = _labels(len(ids), p, q)
-    x = _solve(len(ids), p, q, y, np.ones(len(y)), part)
+    x = _solve(len(ids), p, q, y, np.ones(len(y)), part, _coordinates(len(ids), p, q, y, part))
     used = np.zeros(len(ids), bool)
     used[p] = used[q] = True
     x = np.rint(x - x[part])
