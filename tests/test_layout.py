@@ -152,7 +152,7 @@ def test_modes_treat_chimeras_and_lone_contigs_differently(spark, noisy):
     dual = materialise(fx.paf_dual(noisy), "dual")
     strict = plan.load_graph(dual, AssemblyConfig(filter_chimeras=True))
     loose = plan.load_graph(dual, AssemblyConfig(filter_chimeras=True, mode="compat"))
-    candidates = chimera.paf_candidates(dual, overlaps.read_lengths(dual, keep_self=False), 80)
+    candidates = chimera.paf_candidates(dual, 80)
     hit = {r.read_id for r in candidates.collect()}
     assert hit and not hit & {r.a for r in strict.overlaps.collect()}
     assert hit & {r.a for r in loose.overlaps.collect()}

@@ -8,89 +8,75 @@ from pyspark.sql import functions as F
 from weftline.operators.overlaps import with_ids
 
 
-def _hit(read, side: str, value):
-    return F.struct(read.alias("read_id"), F.lit(side).alias("side"), value.alias("value"))
+def _ends(rows: DataFrame, plus, minus_heads, minus_tails, from_b_heads, from_b_tails, hanging_out: int) -> DataFrame:
+    """One row per read: last length and longest reach inward from either end.
 
-
-def _reach(rows: DataFrame, plus, minus_heads, minus_tails, hanging_out: int) -> DataFrame:
-    """First matching case of four end-to-end configurations -> (read_id, side, value)."""
-    a, b = F.col("a"), F.col("b")
+    The first matching of four end-to-end configurations decides what a record says
+    about its two reads. Lengths and reaches share one pass and one shuffle.
+    """
     a_head, a_tail = F.col("a_start") < hanging_out, F.col("a_len") - F.col("a_end") < hanging_out
     b_head, b_tail = F.col("b_start") < hanging_out, F.col("b_len") - F.col("b_end") < hanging_out
-    from_a_head, from_b_head = F.col("a_end"), F.col("b_end")
     from_a_tail, from_b_tail = F.col("a_len") - F.col("a_start"), F.col("b_len") - F.col("b_start")
-    heads = minus_heads(a_head, a_tail, b_head, b_tail)
-    tails = minus_tails(a_head, a_tail, b_head, b_tail)
-    hits = (
-        F.when(plus & b_tail & a_head, F.array(_hit(a, "F", from_a_head), _hit(b, "R", from_b_tail)))
-        .when(plus & a_tail & b_head, F.array(_hit(b, "F", from_b_head), _hit(a, "R", from_a_tail)))
-        .when(~plus & heads[0], F.array(_hit(a, "F", from_a_head), _hit(b, "F", heads[1])))
-        .when(~plus & tails[0], F.array(_hit(b, "R", tails[1]), _hit(a, "R", from_a_tail)))
+    case = (
+        F.when(plus & b_tail & a_head, 1).when(plus & a_tail & b_head, 2)
+        .when(~plus & minus_heads(a_head, b_head, b_tail), 3).when(~plus & minus_tails(a_tail, b_head, b_tail), 4)
+    )
+    is_case = lambda *n: F.col("case").isin(*n)
+    side = lambda read, turn, front, back: F.struct(
+        F.col(read).alias("read_id"), F.col(read + "_len").alias("len"), (F.col("line_no") * 2 + turn).alias("seen"),
+        front.alias("front"), back.alias("back"),
+    )
+    a = side("a", 0, F.when(is_case(1, 3), F.col("a_end")), F.when(is_case(2, 4), from_a_tail))
+    b = side(
+        "b", 1, F.when(is_case(2), F.col("b_end")).when(is_case(3), from_b_heads),
+        F.when(is_case(1), from_b_tail).when(is_case(4), from_b_tails),
+    )
+    return (
+        rows.filter("a <> b").withColumn("case", case).select(F.explode(F.array(a, b)).alias("s"))
+        .groupBy(F.col("s.read_id").alias("read_id"))
+        .agg(F.max_by("s.len", "s.seen").alias("len"), F.max("s.front").alias("front"), F.max("s.back").alias("back"))
     )
-    return rows.select(F.explode(hits).alias("h")).select("h.read_id", "h.side", "h.value")
 
 
-def paf_reach(paf: DataFrame, hanging_out: int = 150, delimiter: str = "_") -> DataFrame:
-    """Reaches in original strand coordinates."""
-    rows = with_ids(paf, delimiter).filter("a <> b").select(
-        "a", "b", "strand",
+def paf_ends(paf: DataFrame, hanging_out: int = 150, delimiter: str = "_") -> DataFrame:
+    """(read_id, len, front, back) from original strand coordinates."""
+    rows = with_ids(paf, delimiter).select(
+        "line_no", "a", "b", "strand",
         F.col("q_start").alias("a_start"), F.col("q_end").alias("a_end"), F.col("q_len").alias("a_len"),
         F.col("t_start").alias("b_start"), F.col("t_end").alias("b_end"), F.col("t_len").alias("b_len"),
     )
-    return _reach(
+    return _ends(
         rows, F.col("strand") == "+",
-        lambda ah, at, bh, bt: (bh & ah, F.col("b_end")),
-        lambda ah, at, bh, bt: (at & bt, F.col("b_len") - F.col("b_start")),
-        hanging_out,
-    )
-
-
-def strand_frame_reach(rows: DataFrame, hanging_out: int = 50) -> DataFrame:
-    """Reaches for formats whose target coordinates are already in the query's frame."""
-    return _reach(
-        rows.filter("a <> b"), F.col("b_orient") == 0,
-        lambda ah, at, bh, bt: (bt & ah, F.col("b_len") - F.col("b_start")),
-        lambda ah, at, bh, bt: (at & bh, F.col("b_end")),
-        hanging_out,
+        lambda a_head, b_head, b_tail: b_head & a_head, lambda a_tail, b_head, b_tail: a_tail & b_tail,
+        F.col("b_end"), F.col("b_len") - F.col("b_start"), hanging_out,
     )
 
 
-def max_reach(reach: DataFrame) -> DataFrame:
-    """Longest reach per read and side; NULL where a side has none."""
-    return reach.groupBy("read_id").agg(
-        F.max(F.when(F.col("side") == "F", F.col("value"))).alias("front"),
-        F.max(F.when(F.col("side") == "R", F.col("value"))).alias("back"),
+def framed_ends(rows: DataFrame, hanging_out: int = 50) -> DataFrame:
+    """The same for formats whose target coordinates are in the query's frame."""
+    return _ends(
+        rows, F.col("b_orient") == 0,
+        lambda a_head, b_head, b_tail: b_tail & a_head, lambda a_tail, b_head, b_tail: a_tail & b_head,
+        F.col("b_len") - F.col("b_start"), F.col("b_end"), hanging_out,
     )
 
 
-def paf_candidates(paf: DataFrame, lengths: DataFrame, hanging_out: int = 150, delimiter: str = "_", slack: int = 300) -> DataFrame:
+def low_coverage(ends: DataFrame, slack: int = 300) -> DataFrame:
     """Reads whose two reaches together do not cover the read."""
-    reach = max_reach(paf_reach(paf, hanging_out, delimiter))
     covered = F.coalesce("front", F.lit(0)) + F.coalesce("back", F.lit(0))
-    return (
-        lengths.join(reach, "read_id", "left")
-        .withColumn("covered", covered)
-        .filter(F.col("covered") < F.col("len") + slack)
-        .select("read_id", "len", "covered")
-    )
+    return ends.select("read_id", "len", covered.alias("covered")).filter(F.col("covered") < F.col("len") + slack)
+
+
+def paf_candidates(paf: DataFrame, hanging_out: int = 150, delimiter: str = "_", slack: int = 300) -> DataFrame:
+    return low_coverage(paf_ends(paf, hanging_out, delimiter), slack)
 
 
 def numbered_candidates(rows: DataFrame, n_reads: int, hanging_out: int = 50, slack: int = 0) -> DataFrame:
     """Candidates among ids 1..n; a read lacking either side is one too."""
-    sides = F.array(
-        F.struct(F.col("a").alias("read_id"), F.col("a_len").alias("len"), F.lit(0).alias("side")),
-        F.struct(F.col("b").alias("read_id"), F.col("b_len").alias("len"), F.lit(1).alias("side")),
-    )
-    lengths = (
-        rows.filter("a <> b").select("line_no", F.explode(sides).alias("s"))
-        .groupBy(F.col("s.read_id").alias("read_id"))
-        .agg(F.max_by("s.len", F.struct("line_no", "s.side")).alias("len"))
-    )
     ids = rows.sparkSession.range(1, n_reads + 1).select(F.col("id").cast("string").alias("read_id"))
-    reach = max_reach(strand_frame_reach(rows, hanging_out))
     covered = F.col("front") + F.col("back")
     return (
-        ids.join(reach, "read_id", "left").join(lengths, "read_id", "left")
+        ids.join(framed_ends(rows, hanging_out), "read_id", "left")
         .filter(covered.isNull() | (covered < F.col("len") + slack))
         .select(F.col("read_id").cast("long").alias("read_id"))
     )

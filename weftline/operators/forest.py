@@ -171,6 +171,12 @@ def connected_components(edges: DataFrame, finish_edges: int = 100_000) -> DataF
     return spanning_forest(plain, finish_edges).select("node", "root")
 
 
+def oriented_from(facing: DataFrame, node: int) -> DataFrame:
+    """The component of `node` only, turned so that `node` has direction +1."""
+    start = facing.filter(F.col("node") == node).select("root", F.col("dir").alias("_turn"))
+    return facing.join(start, "root").withColumn("dir", (F.col("dir") * F.col("_turn")).cast("int")).drop("_turn")
+
+
 def spanning_orientation(links: DataFrame, min_strength: float, finish_edges: int = 100_000) -> DataFrame:
     """links(u, v, strength, sgn) -> (node, root, dir) along the strongest tree.
 

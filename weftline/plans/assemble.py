@@ -28,10 +28,14 @@ class Graph:
 def load_graph(paf: DataFrame, config: AssemblyConfig) -> Graph:
     """Usable overlaps, orientation edges and lengths, each written once."""
     excluded = None
-    lengths = materialise(overlaps.read_lengths(paf, config.delimiter), "lengths")
-    if config.filter_chimeras and not config.compat:
-        seen = overlaps.read_lengths(paf, config.delimiter, keep_self=False)
-        excluded = chimera.paf_candidates(paf, seen, config.hanging_out, config.delimiter, config.chimera_slack)
+    if config.filter_chimeras:
+        # one pass over the file gives lengths and candidates alike
+        ends = materialise(chimera.paf_ends(paf, config.hanging_out, config.delimiter), "read-ends")
+        lengths = ends.select("read_id", "len")
+        if not config.compat:
+            excluded = chimera.low_coverage(ends, config.chimera_slack)
+    else:
+        lengths = materialise(overlaps.read_lengths(paf, config.delimiter), "lengths")
     used = materialise(overlaps.usable(paf, config.hanging_out, config.delimiter, excluded), "overlaps")
     return Graph(used, materialise(overlaps.orientation_edges(used), "orientation-edges"), lengths)
 

@@ -98,17 +98,17 @@ def overlap_counts(spark, sf):
 # Chimera detection
 
 def reach_by_end(spark, sf):
-    return chimera.max_reach(chimera.paf_reach(_noisy(spark, sf))).fillna(0)
+    ends = chimera.paf_ends(_noisy(spark, sf)).filter("front is not null or back is not null")
+    return ends.select("read_id", "front", "back").fillna(0)
 
 
 def chimera_candidates(spark, sf):
-    paf = _noisy(spark, sf)
-    return chimera.paf_candidates(paf, overlaps.read_lengths(paf, keep_self=False))
+    return chimera.paf_candidates(_noisy(spark, sf))
 
 
 def chimera_filtered_overlaps(spark, sf):
     paf = _noisy(spark, sf)
-    hit = chimera.paf_candidates(paf, overlaps.read_lengths(paf, keep_self=False))
+    hit = chimera.paf_candidates(paf)
     return overlaps.usable(paf, HANGING_OUT, excluded=hit).select("line_no", "a", "b", "w")
 
 
@@ -186,6 +186,14 @@ def equations_weighted(spark, sf):
     return _equations(spark, sf, "weighted")
 
 
+def equations_visit_order(spark, sf):
+    """Compat equations when both directions are listed: each pair once, whichever way it is used."""
+    used = materialise(overlaps.usable(fx.paf_dual(fx.paf(spark, sf)), HANGING_OUT), "overlaps")
+    facing = orient.orient_reads(used, overlaps.orientation_edges(used), AssemblyConfig(mode="compat"))
+    eq = equations.equations(used, facing, "visit_order")
+    return eq.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.abs("y").cast("long").alias("gap"))
+
+
 def equations_indel(spark, sf):
     return _equations(spark, sf, "indel")
 
@@ -204,6 +212,12 @@ def spanning_orientation(spark, sf):
     return _long(forest.spanning_orientation(votes, 0).select(F.col("node").alias("read_id"), F.col("root").alias("component"), "dir"))
 
 
+def spanning_orientation_rooted(spark, sf):
+    """Directions of one component relative to a chosen read."""
+    votes = overlaps.orientation_votes(_used(spark, sf))
+    return _long(forest.oriented_from(forest.spanning_orientation(votes, 0), 7).select(F.col("node").alias("read_id"), "dir"))
+
+
 def greedy_orientation(spark, sf):
     used = materialise(_used(spark, sf), "overlaps")
     return _long(orient.orient_reads(used, overlaps.orientation_edges(used)).select("component", "read_id", "dir"))
@@ -459,7 +473,7 @@ QUERIES = {
         dangling_lengths, dangling_filter, overlap_counts, inconsistent_overlaps, reach_by_end, chimera_candidates,
         chimera_filtered_overlaps, low_quality_counts, blasr_chimera, mhap_chimera, read_lengths, overlaps_per_pair,
         edge_weight_last, edge_links_first, orientation_votes, vote_probability, read_offset, start_offset,
-        equations_plain, equations_weighted, equations_indel, components, spanning_orientation, greedy_orientation,
+        equations_plain, equations_weighted, equations_indel, equations_visit_order, components, spanning_orientation, spanning_orientation_rooted, greedy_orientation,
         greedy_orientation_conflicts, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
         robust_positions_weighted, residual_percentiles, layout_split, layout_split_noisy, layout_index, layout_spans,
         contig_end_overlaps, contig_votes, contig_orientation, contig_offset_median, contig_positions, contig_merge,

@@ -191,6 +191,9 @@ BODIES = {
     "equations_weighted": "SELECT a AS i, b AS j, xb - xa AS y, CAST(round(sqrt(w) * 1000000) AS BIGINT) AS scale FROM steps",
     "equations_indel": """SELECT a AS i, b AS j, CAST(trunc((xb - xa) * (CAST(1 AS DOUBLE) - CAST(0.006875 AS DOUBLE))) AS BIGINT) AS y,
       CAST(1000000 AS BIGINT) AS scale FROM steps""",
+    "equations_visit_order": """SELECT a AS u, b AS v, abs((CASE WHEN t.strand = 1 THEN t.g_start ELSE t.g_end END)
+      - (CASE WHEN s.strand = 1 THEN s.g_start ELSE s.g_end END)) AS gap FROM uc o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b""",
+    "spanning_orientation_rooted": "SELECT s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = 7",
     "components": """SELECT read_id, (read_id // 37) * 37 AS component FROM sim
       WHERE (read_id // 37) * 37 + 1 < (SELECT count(*) FROM sim)""",
     "spanning_orientation": """SELECT s.read_id, z.read_id AS component, s.strand * z.strand AS dir FROM sim s, sim z
