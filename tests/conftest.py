@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, memory="8g", shuffle_partitions=4)
+    return local_session(8, memory="8g", shuffle_partitions=3)
 
 
 @pytest.fixture(scope="session")

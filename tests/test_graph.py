@@ -243,8 +243,15 @@ def _plain_huber(rows, thr1, thr2, rounds, gate):
     return {v: p - x[0] for v, p in zip(nodes, x)}, len(good)
 
 
-@pytest.mark.parametrize("gate,thr1,thr2", [("p99", 20.0, 80.0), ("p95", 20.0, 60.0)])
-@pytest.mark.parametrize("bounds", [ScaleBounds(), ScaleBounds(fit_nodes=10, slice_nodes=48, finish_edges=50)])
+@pytest.mark.parametrize(
+    "gate,thr1,thr2,bounds",
+    [
+        ("p99", 20.0, 80.0, ScaleBounds()),
+        ("p95", 20.0, 60.0, ScaleBounds()),
+        ("p99", 20.0, 80.0, ScaleBounds(fit_nodes=10, slice_nodes=64, finish_edges=50)),
+        ("p95", 20.0, 60.0, ScaleBounds(fit_nodes=10, slice_nodes=64)),
+    ],
+)
 def test_robust_fit(spark, gate, thr1, thr2, bounds):
     """The local and the distributed fit both follow the plain iteration."""
     _, rows = _line_system(7, 50)
