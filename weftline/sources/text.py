@@ -32,8 +32,9 @@ MHAP_FIELDS = [
 
 def fields_of(lines: DataFrame, layout, keep=("line_no",)) -> DataFrame:
     """Split the `value` column into typed fields; further fields are ignored."""
-    parts = F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " ")
-    row = lines.filter(F.trim("value") != "").withColumn("_f", parts)
+    bare = F.trim("value", F.lit(" \t\r"))
+    # the limit leaves trailing tags, which can be long, unsplit
+    row = lines.filter(bare != "").withColumn("_f", F.split(bare, "\\s+", len(layout) + 1))
     columns = [
         F.get("_f", F.lit(i)).cast(kind).alias(name)
         for i, (name, kind) in enumerate(layout)
