@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import ngram_join
+from weftline.llm import decontaminate, importance, mixing, ngram_join, sharding
+from weftline.llm.oracles import ORACLE_SQL
 
-QUERIES, ORACLE_SQL = {}, {}
+QUERIES = {}
+MIX_WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}  # domains and sources weigh alike
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +21,28 @@ def _query(function):
     return function
 
 
+@_query
+def op3_byte_prefix_shards(spark, folder):
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+@_query
+def op5_spaced_seed_decontamination(spark, folder):
+    found = decontaminate.overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.lit(True).alias("contaminated"))
+
+
 @_query
 def op6_ngram_jaccard_join(spark, folder):
     return ngram_join.jaccard_join(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op8_importance_resampling(spark, folder):
+    return importance.kept_rows(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op9_hierarchical_mixing(spark, folder):
+    found, name = mixing.chosen(_table(spark, folder, "documents"), MIX_WEIGHTS)
+    return found.select("doc_id", F.substring("source", 1, 4).alias("domain"), "lang", "source", mixing.token_count(F.col("text")).alias("tokens"), F.col(name).alias("taken"))
