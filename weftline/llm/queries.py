@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, importance, mixing, ngram_join, sharding
+from weftline.llm import decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding
 from weftline.llm.oracles import ORACLE_SQL
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op3_byte_prefix_shards(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"))
 
 
+@_query
+def op4_cross_polytope_duplicates(spark, folder):
+    return embedding_dups.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 @_query
 def op5_spaced_seed_decontamination(spark, folder):
     found = decontaminate.overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -37,6 +42,11 @@ def op6_ngram_jaccard_join(spark, folder):
     return ngram_join.jaccard_join(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@_query
+def op7_licence_automaton(spark, folder):
+    return licences.scan(_table(spark, folder, "documents"))
+
+
 @_query
 def op8_importance_resampling(spark, folder):
     return importance.kept_rows(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -46,3 +56,8 @@ def op8_importance_resampling(spark, folder):
 def op9_hierarchical_mixing(spark, folder):
     found, name = mixing.chosen(_table(spark, folder, "documents"), MIX_WEIGHTS)
     return found.select("doc_id", F.substring("source", 1, 4).alias("domain"), "lang", "source", mixing.token_count(F.col("text")).alias("tokens"), F.col(name).alias("taken"))
+
+
+@_query
+def op10_randomness_secrets(spark, folder):
+    return secrets.scan(_table(spark, folder, "documents"))
