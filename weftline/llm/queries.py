@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding
+from weftline.llm import decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding, warc, wrappers
 from weftline.llm.oracles import ORACLE_SQL
 
 QUERIES = {}
@@ -21,6 +21,17 @@ def _query(function):
     return function
 
 
+@_query
+def op1_html_wrappers(spark, folder):
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
+@_query
+def op2_warc_archives(spark, folder):
+    read = warc.round_trip(_table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op3_byte_prefix_shards(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"))
