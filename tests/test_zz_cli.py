@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def test_defaults():
     config = cli.config_from(cli.parser().parse_args(["-r", "a", "-m", "b"]))
-    assert (config.hanging_out, config.rounds, config.split_sd, config.max_size, config.block_width) == (80, 3, 1000, 20000, 12000)
+    assert (config.hanging_out, config.rounds, config.split_sd, config.block_width) == (80, 3, 1000, 12000)
     assert not config.filter_chimeras and config.delimiter == "_"
 
 

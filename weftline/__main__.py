@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-C", action="store_true", help="leave out suspected chimeric reads")
     p.add_argument("-i", type=int, default=3, help="contig rounds end before this number [3]")
     p.add_argument("-sd", type=int, default=1000, help="position tolerance when splitting [1000]")
-    p.add_argument("-ms", type=int, default=20000, help="largest component of the greedy search [20000]")
+    p.add_argument("-ms", type=int, default=None, help="largest component; accepted, has no effect")
     p.add_argument("-bw", type=int, default=12000, help="width of a consensus block [12000]")
     p.add_argument("--mode", choices=("intended", "compat"), default="intended", help="see README [intended]")
     return p
@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 
 def config_from(args: argparse.Namespace) -> AssemblyConfig:
     return AssemblyConfig(
-        mode=args.mode, delimiter=args.p, hanging_out=args.HO, filter_chimeras=args.C, max_size=args.ms,
+        mode=args.mode, delimiter=args.p, hanging_out=args.HO, filter_chimeras=args.C,
         rounds=args.i, split_sd=args.sd, block_width=args.bw,
     )
 
@@ -46,6 +46,8 @@ def main(argv: list[str] | None = None) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(args.t))
     if args.c:
         print("weftline: -c has no effect", file=sys.stderr)
+    if args.ms is not None:
+        print("weftline: -ms has no effect, components of every size are treated alike", file=sys.stderr)
     config = config_from(args)
     paf = text.read_paf(spark, args.m)
     layout = assemble.layout_contigs(paf, config)

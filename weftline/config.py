@@ -14,7 +14,6 @@ class AssemblyConfig:
     hanging_out: int = 80
     filter_chimeras: bool = False
     chimera_slack: int = 300
-    max_size: int = 20000
     rounds: int = 3
     split_sd: int = 1000
     back_window: int = 4
@@ -51,7 +50,6 @@ class ScaleBounds:
     """
 
     finish_edges: int = 100_000    # contracted edges one task may finish
-    kernel_edges: int = 2_000_000  # edges of one component in the greedy search
     fit_nodes: int = 20_000         # reads of one component in the local fit
     fit_equations: int = 2_000_000  # equations of one component in the local fit
     slice_nodes: int = 1024        # unknowns eliminated by one task

@@ -40,7 +40,7 @@ def _canonical(edges: DataFrame) -> DataFrame:
     )
 
 
-def _best_choice(edges: DataFrame) -> DataFrame:
+def best_choice(edges: DataFrame) -> DataFrame:
     """Per root its best edge, from partial aggregates over both directions."""
     key = [c.alias(f"k{i}") for i, c in enumerate(_heaviest_key())]
     there = edges.select(F.col("u").alias("node"), F.struct(*key, F.col("v").alias("to"), "sgn", "shift").alias("c"))
@@ -54,7 +54,7 @@ def _best_choice(edges: DataFrame) -> DataFrame:
     )
 
 
-def _hook(choice: DataFrame) -> DataFrame:
+def hook(choice: DataFrame) -> DataFrame:
     """Parents: the chosen neighbour, except that of two mutual choices the smaller is root."""
     other = choice.select(
         F.col("node").alias("to"), F.col("to").alias("back"), F.col("k1").alias("o1"), F.col("k2").alias("o2")
@@ -71,7 +71,7 @@ def _hook(choice: DataFrame) -> DataFrame:
     )
 
 
-def _follow(children: DataFrame, parents: DataFrame) -> DataFrame:
+def follow(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Compose child->parent with parent->grandparent; a parent without entry stays."""
     up = parents.select(
         F.col("node").alias("parent"), F.col("parent").alias("_p"), F.col("sgn").alias("_s"), F.col("shift").alias("_d")
@@ -85,10 +85,10 @@ def _follow(children: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
-def _flatten(parents: DataFrame) -> DataFrame:
+def flatten(parents: DataFrame) -> DataFrame:
     """Pointer doubling until every node points at its root."""
     while True:
-        jumped = materialise(_follow(parents, parents), "forest-jump")
+        jumped = materialise(follow(parents, parents), "forest-jump")
         parents = jumped.drop("moved")
         if not jumped.filter("moved").limit(1).count():
             return parents
@@ -147,7 +147,7 @@ def spanning_forest(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
     rest = materialise(_one_per_pair(_canonical(start)), "forest-edges")
     left, maps = rest.count(), []
     while left > finish_edges:
-        parents = _flatten(materialise(_hook(materialise(_best_choice(rest), "forest-choice")), "forest-hook"))
+        parents = flatten(materialise(hook(materialise(best_choice(rest), "forest-choice")), "forest-hook"))
         maps.append(parents)
         rest = materialise(_rewrite(rest, parents), "forest-edges")
         left = rest.count()
@@ -155,7 +155,7 @@ def spanning_forest(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
         maps.append(rest.withColumn("h", F.xxhash64("eu", "ev")).groupBy().applyInPandas(_finish, _MAP))
     final = maps.pop()
     while maps:
-        final = _follow(maps.pop(), final).drop("moved")
+        final = follow(maps.pop(), final).drop("moved")
     final = materialise(final, "forest")
     anchor = final.groupBy("parent").agg(F.min(F.struct("node", "sgn", "shift")).alias("a"))
     return final.join(anchor, "parent").select(

@@ -223,8 +223,8 @@ def greedy_orientation(spark, sf):
     return _long(orient.orient_reads(used, overlaps.orientation_edges(used)).select("component", "read_id", "dir"))
 
 
-def greedy_orientation_conflicts(spark, sf):
-    """The search on edges of which some have the wrong sign."""
+def orientation_conflicts(spark, sf):
+    """Directions from edges of which some have the wrong sign."""
     used = materialise(_flipped_votes(_used(spark, sf)), "overlaps")
     return _long(orient.orient_reads(used, overlaps.orientation_edges(used)).select("component", "read_id", "dir"))
 
@@ -474,7 +474,7 @@ QUERIES = {
         chimera_filtered_overlaps, low_quality_counts, blasr_chimera, mhap_chimera, read_lengths, overlaps_per_pair,
         edge_weight_last, edge_links_first, orientation_votes, vote_probability, read_offset, start_offset,
         equations_plain, equations_weighted, equations_indel, equations_visit_order, components, spanning_orientation, spanning_orientation_rooted, greedy_orientation,
-        greedy_orientation_conflicts, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
+        orientation_conflicts, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
         robust_positions_weighted, residual_percentiles, layout_split, layout_split_noisy, layout_index, layout_spans,
         contig_end_overlaps, contig_votes, contig_orientation, contig_offset_median, contig_positions, contig_merge,
         contig_offsets_plain, contig_offsets_plain_median, contig_round, layout_contigs, layout_contigs_noisy,

@@ -199,6 +199,7 @@ BODIES = {
     "spanning_orientation": """SELECT s.read_id, z.read_id AS component, s.strand * z.strand AS dir FROM sim s, sim z
       WHERE z.read_id = (SELECT min(a) FROM un)""",
     "greedy_orientation": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
+    "orientation_conflicts": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
     "layout_positions": _facing("uc"),
     "layout_positions_mixed": _facing("um"),
     "layout_positions_noisy": _facing("un"),
