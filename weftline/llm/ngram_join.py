@@ -16,7 +16,8 @@ Below level 5 all tokens are signed singly.
 Frequencies come from one table of hashed counters over all documents. They steer cost
 only: any fixed order and classes give the same links.
 
-Equal sets are joined first. Sets that share a signature are then linked to a pivot, one
+Equal sets are joined first. Two sets are compared only if the number of signatures they
+share leaves room for the overlap that their sizes ask for. Sets that share a signature are then linked to a pivot, one
 comparison per set, which turns groups of near copies into stars. Between stars only the
 pivots are compared; since Jaccard distance is a metric, distance(pivots) minus both radii
 bounds every pair between two stars. Only pairs of stars that stay open are compared
@@ -31,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import common
@@ -64,15 +65,19 @@ def _levels(n: int) -> list[int]:
     return [own, own + 1] if 4 * n >= 3 << (own + 1) else [own]
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, limits: tuple[float, float], num: int, den: int) -> np.ndarray:
-    """Signatures of one token set under the order (count, token)."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, limits: tuple[float, float], num: int, den: int) -> tuple[np.ndarray, int]:
+    """Signatures of one token set under the order (count, token), and the tokens beyond them.
+
+    The second value bounds what a partner can share besides shared signatures: what
+    follows a prefix of single tokens, or all tokens if there are combinations.
+    """
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, 0
     need = n - -(-n * num // den) + 1
     order = np.lexsort((tokens, counts))
     if counts[order[need - 1]] <= limits[0]:  # the whole prefix is rare
-        return tokens[order[:need]]
+        return tokens[order[:need]], n - need
     ranked, seen = tokens[order], counts[order]
     rare = int(np.searchsorted(seen, limits[0], side="right"))
     found = [ranked[:rare]]
@@ -97,7 +102,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, limits: tuple[float, floa
                     for column in parts.T:
                         total = common.mixed(total + column + common.MIX)
                 found.append(total)
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate(found)), n
 
 
 def _counting(column: str, n: int):
@@ -113,35 +118,36 @@ def _counting(column: str, n: int):
 
 
 def _signing(n: int, table, limits, num: int, den: int):
-    """(doc_id, th, text) -> (doc_id, th, n_shingles, hi, lo, sigs)"""
+    """(doc_id, th, text) -> (doc_id, th, n_shingles, slack, hi, lo, sigs)"""
     def run(batches):
         counts = table.value
         for part in common.slices(batches, "text"):
             sets = shingle_sets(part.column("text"), n)
             marks = np.array([(int(h := xxhash.xxh3_128_intdigest(s.tobytes())) >> 64, h & (2**64 - 1)) for s in sets], np.uint64).reshape(-1, 2)
             signed = [signatures(s, counts[(s >> np.uint64(64 - common.COUNTER_BITS)).astype(np.int64)], limits, num, den) for s in sets]
+            signed, slack = [x for x, _ in signed], [x for _, x in signed]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in signed])]).astype(np.int32)
             flat = np.concatenate(signed).view(np.int64) if signed else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(slack, pa.int64()),
                  pa.array(marks[:, 0].view(np.int64) if len(marks) else [], pa.int64()), pa.array(marks[:, 1].copy().view(np.int64) if len(marks) else [], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "th", "n_shingles", "hi", "lo", "sigs"],
+                names=["doc_id", "th", "n_shingles", "slack", "hi", "lo", "sigs"],
             )
 
     return run
 
 
 def _token_rows(n: int):
-    """(sid, pivot, text) -> (sid, pivot, tokens)"""
+    """(sid, text) -> (sid, tokens)"""
     def run(batches):
         for part in common.slices(batches, "text"):
             sets = shingle_sets(part.column("text"), n)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("sid"), part.column("pivot"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["sid", "pivot", "tokens"],
+                [part.column("sid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["sid", "tokens"],
             )
 
     return run
@@ -182,38 +188,35 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     keyed = base.withColumn("th", F.xxhash64("text"))
     signed = materialise(
         keyed.select("doc_id", "th", "text")
-        .mapInArrow(_signing(n, table, (low, low * STEP), num, den), "doc_id long, th long, n_shingles long, hi long, lo long, sigs array<bigint>")
+        .mapInArrow(_signing(n, table, (low, low * STEP), num, den), "doc_id long, th long, n_shingles long, slack long, hi long, lo long, sigs array<bigint>")
         .withColumn("rid", F.monotonically_increasing_id()),
         "ngram-signed",
     )
     filled = signed.filter("n_shingles > 0")
     heads = filled.groupBy("hi", "lo").agg(F.min("rid").alias("sid"))
-    firsts = materialise(
-        filled.select("rid", "sigs").join(heads.select(F.col("sid").alias("rid")), "rid", "left_semi")
-        .select(F.explode("sigs").alias("sig"), F.col("rid").alias("sid"))
-        .withColumns(_ends("sig", "sid")).filter("first < last").drop("last"),
+    same = Window.partitionBy("sig")
+    buckets = materialise(
+        filled.select("rid", "n_shingles", "slack", "sigs").join(heads.select(F.col("sid").alias("rid")), "rid", "left_semi")
+        .select(F.explode("sigs").alias("sig"), F.col("rid").alias("sid"), F.col("n_shingles").alias("n"), "slack")
+        .withColumns({"first": F.min(F.struct("sid", "n", "slack")).over(same), "last": F.max("sid").over(same)})
+        .filter("first.sid < last").drop("last"),
         "ngram-buckets",
     )
-    pivots = (
-        firsts.filter("sid > first").groupBy("sid", "first").agg(F.count("*").alias("k"))
-        .groupBy("sid").agg(F.max_by("first", F.struct("k", -F.col("first"))).alias("pivot"))
-    )
-    wanted = materialise(firsts.select("sid").distinct().join(pivots, "sid", "left"), "ngram-wanted")
-    where = filled.select(F.col("rid").alias("sid"), "doc_id", "th").join(wanted, "sid")
-    texts = keyed.join(where.withColumnRenamed("doc_id", "_id"), (keyed["doc_id"].eqNullSafe(F.col("_id"))) & (keyed["th"] == where["th"]))
-    sets = materialise(
-        texts.select("sid", "pivot", "text").mapInArrow(_token_rows(n), "sid long, pivot long, tokens array<bigint>").dropDuplicates(["sid"]),
-        "ngram-sets",
-    )
-    heads_of = sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("y"))
-    stars = materialise(
-        _measured(sets.filter("pivot is not null").withColumnRenamed("tokens", "x").join(heads_of, "pivot"), num, den).filter("linked"),
-        "ngram-stars",
+    shared = buckets.filter("sid > first.sid").groupBy("sid", "first").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("slack").alias("slack"))
+    room = _room(F.col("n"), F.col("slack"), F.col("first.n"), F.col("first.slack"), F.col("k"))
+    pivots = materialise(
+        shared.filter(room >= _asked(F.col("n") + F.col("first.n"), num, den))
+        .groupBy("sid").agg(F.max_by("first.sid", F.struct("k", -F.col("first.sid"))).alias("pivot")),
+        "ngram-pivots",
     )
+    place = filled.select(F.col("rid").alias("sid"), "doc_id", "th")
+    fetch = lambda wanted: _fetch(keyed, place, wanted, n)
+    sets = fetch(pivots.select("sid").unionByName(pivots.select(F.col("pivot").alias("sid"))).distinct())
+    stars = materialise(_compare(pivots.select(F.col("sid").alias("a"), F.col("pivot").alias("b")), sets, num, den).filter("linked"), "ngram-stars")
+    stars = stars.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
     edges = stars.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))
     joined = components(edges, "ngram-components")
-    edges = edges.unionByName(_between_stars(firsts, stars, joined, sets, num, den))
-    final = components(edges, "ngram-components")
+    final = _between_stars(buckets, stars, joined, fetch, num, den)
     rows = signed.select("doc_id", "n_shingles", "hi", "lo", "rid", "th")
     sid_of = heads.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "sid", F.coalesce("component", "sid").alias("group"))
     placed = rows.filter("n_shingles > 0").join(sid_of, ["hi", "lo"])
@@ -223,56 +226,107 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     )
 
 
-def _ends(bucket: str, member: str) -> dict:
-    from pyspark.sql import Window
+def _room(n, slack, other, beyond, k):
+    """Upper bound of the overlap of two sets that share k signatures.
+
+    Whichever prefix ends first in the common order shares nothing else inside itself.
+    """
+    return F.greatest(F.least(slack + k, other), F.least(beyond + k, n))
+
+
+def _asked(total, num: int, den: int):
+    """Least overlap of linked sets whose sizes add up to `total`."""
+    return F.ceil(num * total / (num + den) - 1e-6)
 
-    same = Window.partitionBy(bucket)
-    return {"first": F.min(member).over(same), "last": F.max(member).over(same)}
 
+BROADCAST_ROWS = 200_000  # up to so many document keys travel to every task
 
-def _between_stars(buckets: DataFrame, stars: DataFrame, joined: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) between members of different components that share a signature."""
+
+def _fetch(keyed: DataFrame, place: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(sid, tokens) of the wanted sets, taken again from their texts."""
+    where = materialise(place.join(wanted, "sid").select("sid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "ngram-wanted")
+    few = where.count() <= BROADCAST_ROWS
+    texts = keyed.join(F.broadcast(where) if few else where, keyed["doc_id"].eqNullSafe(where["_id"]) & (keyed["th"] == where["_th"]))
+    return materialise(texts.select("sid", "text").mapInArrow(_token_rows(n), "sid long, tokens array<bigint>"), "ngram-sets").dropDuplicates(["sid"])
+
+
+def _extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links(u, v); known ones enter as stars and are not found again."""
+    links = materialise(links, "ngram-links")
+    if not links.limit(1).count():
+        return joined
+    return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "ngram-components")
+
+
+def _between_stars(buckets: DataFrame, stars: DataFrame, joined: DataFrame, fetch, num: int, den: int) -> DataFrame:
+    """Components (node, component) after the links between members of different ones that share signatures."""
     slack = 1 - num / den + 1e-9
     spans = stars.groupBy("pivot").agg(F.max("distance").alias("radius"))
-    star_of = stars.select("sid", F.col("pivot").alias("star"))
     placed = (
-        buckets.select("sig", "sid").join(star_of, "sid", "left").withColumn("star", F.coalesce("star", "sid"))
+        buckets.select("sig", "sid", "n", "slack").join(stars.select("sid", F.col("pivot").alias("star")), "sid", "left")
+        .withColumn("star", F.coalesce("star", "sid"))
         .join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     )
     mixed = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("sig")
-    open_ = materialise(placed.join(mixed, "sig"), "ngram-open")
-    seen = open_.select("sig", "star", "component").distinct()
-    other = seen.select("sig", F.col("star").alias("b"), F.col("component").alias("cb"))
-    pairs = seen.select("sig", F.col("star").alias("a"), F.col("component").alias("ca")).join(other, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
+    apart = materialise(placed.join(mixed, "sig"), "ngram-apart")
+    size = apart.groupBy("star").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("slack").alias("slack"))
+    seen = apart.select("sig", "star", "component").distinct()
+    one = seen.select("sig", F.col("star").alias("a"), F.col("component").alias("ca"))
+    two = seen.select("sig", F.col("star").alias("b"), F.col("component").alias("cb"))
+    met = one.join(two, "sig").filter("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("k"))
+    near = met.join(size.select(F.col("star").alias("a"), *[F.col(c).alias("a_" + c) for c in ("least", "most", "slack")]), "a")
+    near = near.join(size.select(F.col("star").alias("b"), *[F.col(c).alias("b_" + c) for c in ("least", "most", "slack")]), "b")
+    room = _room(F.col("a_most"), F.col("a_slack"), F.col("b_most"), F.col("b_slack"), F.col("k"))
+    pairs = materialise(near.filter(room >= _asked(F.col("a_least") + F.col("b_least"), num, den)).select("a", "b"), "ngram-star-pairs")
+    centres = fetch(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct())
     around = spans.select(F.col("pivot").alias("a"), F.col("radius").alias("ra"))
     about = spans.select(F.col("pivot").alias("b"), F.col("radius").alias("rb"))
     judged = materialise(
-        _compare(pairs, sets, num, den).join(around, "a", "left").join(about, "b", "left").fillna(0.0, ["ra", "rb"]), "ngram-pivots"
+        _compare(pairs, centres, num, den).join(around, "a", "left").join(about, "b", "left").fillna(0.0, ["ra", "rb"]), "ngram-judged"
     )
     links = judged.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    near = judged.filter(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("distance") - F.col("ra") - F.col("rb") <= slack)).select("a", "b")
-    one = open_.select("sig", F.col("star").alias("a"), F.col("sid").alias("x"))
-    two = open_.select("sig", F.col("star").alias("b"), F.col("sid").alias("y"))
-    members = near.join(one, "a").join(two, ["b", "sig"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = _compare(members, sets, num, den).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return links.unionByName(more)
+    # links between pivots may have joined the stars of an open pair by another way
+    now = _extended(joined, links)
+    at = lambda side: now.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+    open_ = materialise(
+        judged.filter(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("distance") - F.col("ra") - F.col("rb") <= slack)).select("a", "b")
+        .join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"),
+        "ngram-open",
+    )
+    n_open = open_.count()
+    if not n_open:
+        return now
+    # signatures that the two stars of an open pair share, then the members that hold them
+    meeting = one.join(two, "sig").filter("a < b and ca <> cb").select("a", "b", "sig").join(F.broadcast(open_) if n_open <= BROADCAST_ROWS else open_, ["a", "b"])
+    left = apart.select("sig", F.col("star").alias("a"), F.struct("sid", "n", "slack").alias("x"))
+    right = apart.select("sig", F.col("star").alias("b"), F.struct("sid", "n", "slack").alias("y"))
+    members = meeting.join(left, ["a", "sig"]).join(right, ["b", "sig"]).groupBy("x", "y").agg(F.count("*").alias("k"))
+    room = _room(F.col("x.n"), F.col("x.slack"), F.col("y.n"), F.col("y.slack"), F.col("k"))
+    members = materialise(
+        members.filter(room >= _asked(F.col("x.n") + F.col("y.n"), num, den)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")), "ngram-members"
+    )
+    sets = fetch(members.select(F.col("a").alias("sid")).unionByName(members.select(F.col("b").alias("sid"))).distinct())
+    return _extended(now, _compare(members, sets, num, den).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: the row of the smallest key, all columns as they were.
 
     Rows without a key give way to rows with one. Of rows that repeat a key and a text one
-    stays. Rows without words are linked with nothing and all stay.
+    stays. Rows without words are linked with nothing and all stay. Only the keys of rows
+    that go travel; up to BROADCAST_ROWS of them are sent to every task.
     """
-    rows = jaccard_join(docs, key, text).filter("n_shingles > 0")
+    rows = materialise(jaccard_join(docs, key, text).filter("n_shingles > 0"), "ngram-groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
-    heads = materialise(
-        rows.groupBy("group_id").agg(F.min_by(F.struct("doc_id", "th"), order).alias("h")).select("h.doc_id", "h.th"), "ngram-heads"
-    )
-    k, t = common.free_name(docs, "_key"), common.free_name(docs, "_th")
-    heads = heads.toDF(k, t)
-    worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    mine = docs.filter(worded)
-    match = mine[key].cast("long").eqNullSafe(heads[k]) & (F.xxhash64(mine[text].cast("string")) == heads[t])
-    kept = mine.join(heads, match).dropDuplicates([k, t]).select(*[mine[c] for c in docs.columns])
-    return kept.unionByName(docs.filter(~worded))
+    heads = rows.groupBy("group_id").agg(F.min_by("rid", order).alias("rid")).select("rid", F.lit(True).alias("head"))
+    marked = rows.join(heads, "rid", "left").groupBy("doc_id", "th").agg(F.max(F.coalesce("head", F.lit(False))).alias("head"), F.count("*").alias("n"))
+    odd = materialise(marked.filter("not head or n > 1").select("doc_id", "th", "head"), "ngram-odd")
+    k, t, again = (common.free_name(docs, c) for c in ("_key", "_th", "_again"))
+    few, repeated = odd.count() <= BROADCAST_ROWS, odd.filter("head").limit(1).count()
+    odd = odd.toDF(k, t, again)
+    match = docs[key].cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(docs[text].cast("string")) == F.col(t))
+    found = docs.join(F.broadcast(odd) if few else odd, match, "left")
+    kept = found.filter(F.col(again).isNull())
+    if repeated:
+        kept = kept.unionByName(found.filter(F.col(again)).dropDuplicates([k, t]))
+    return kept.select(*[kept[c] for c in docs.columns])
