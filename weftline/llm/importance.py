@@ -7,7 +7,7 @@ too rarely to tell weigh nothing. Raw text holds target text itself, so the rati
 n-gram typical of the target lies above one; the target's weighted median is taken off,
 which makes the weight the log share of target text among the text that shows the n-gram.
 Only weights below `cut` count as evidence. A document's log weight is the sum of its
-evidence over the square root of its length.
+evidence over the square root of the number of its distinct n-grams.
 
 Resampling is Gumbel top-k: k documents with the largest log weight / temperature plus
 Gumbel noise are kept. The noise is a hash of seed, key and text, so runs repeat. k is the
@@ -26,21 +26,26 @@ from weftline.llm import common
 from weftline.session import materialise
 
 LABELLED = 40_000   # at most so many labelled good documents are used: half as target, half held out
-SHRINK, CUT = 20.0, 1.0
+SHRINK = (5.0, 10.0)  # prior counts: a hundredth of the target documents, within these limits
+CUT = 0.7
 SPARE = 0.002
 TEMPERATURE = 0.002
 ORDERS = (1,)       # n-gram lengths of the models
 
 
 def _buckets(text, orders, shift):
-    """Per order the hashed n-grams of a piece and the row each belongs to."""
+    """Per order the distinct hashed n-grams of each text of a piece, and its row.
+
+    A text counts an n-gram once, so no single long or repetitive text shapes the models.
+    """
     offsets, flat = common.words(text)
     hashes, sizes = common.word_hashes(flat), np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
     for n in orders:
         grams = common.grams(hashes, n)
         inside = row[n - 1:] == row[:len(grams)]
-        yield (grams >> np.uint64(shift)).astype(np.int64)[inside], row[:len(grams)][inside]
+        keyed = np.unique((row[:len(grams)][inside] << (64 - shift)) | (grams[inside] >> np.uint64(shift)).astype(np.int64))
+        yield keyed & ((1 << (64 - shift)) - 1), keyed >> (64 - shift)
 
 
 def _counting(orders, bits):
@@ -56,7 +61,7 @@ def _counting(orders, bits):
     return run
 
 
-def evidence(raw: np.ndarray, target: np.ndarray, shrink: float = SHRINK, cut: float = CUT) -> np.ndarray:
+def evidence(raw: np.ndarray, target: np.ndarray, shrink: float, cut: float = CUT) -> np.ndarray:
     """Weight of every bucket, zero unless it speaks clearly against target text."""
     if not target.sum():
         return np.zeros(len(raw), np.float32)
@@ -123,13 +128,16 @@ def weighted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Column names are varied if docs bears them; they are returned with the frame.
     """
     spark = docs.sparkSession
-    chosen = F.broadcast(labelled_good(labels, key))  # at most LABELLED rows
+    chosen = materialise(labelled_good(labels, key), "importance-labels")
+    n_target = chosen.filter("_target").count()
+    chosen = F.broadcast(chosen)  # at most LABELLED rows
     base = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"))
     flagged = base.join(chosen, base["_key"] == chosen["_lkey"], "left")
     raw, target = common.total_counters(
         flagged.select("text", F.coalesce("_target", F.lit(False)).alias("target")).mapInArrow(_counting(orders, bits), common.COUNTERS), 2, bits
     )
-    model = spark.sparkContext.broadcast(evidence(raw, target))  # fixed size
+    shrink = min(max(SHRINK[0], n_target / 100), SHRINK[1])
+    model = spark.sparkContext.broadcast(evidence(raw, target, shrink))  # fixed size
     weigh = F.arrow_udf(_weighing(orders, bits, model), "double")
     weight, draw = common.free_name(docs, "_weight"), common.free_name(docs, "_draw")
     share = (F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
