@@ -54,6 +54,21 @@ def test_selection_is_the_k_largest_draws(spark, corpus):
     assert sorted((r.doc_id for r in again), key=repr) == sorted((r.doc_id for r in rows if r[draw] >= least), key=repr)
 
 
+def test_level_misses_few_good_documents(spark, monkeypatch):
+    """Good documents with some evidence against them stay, as held-out ones of their kind do."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(1200):
+        body, good = [f"w{rng.randrange(300)}" for _ in range(60)], i % 4 != 0
+        body += ["edge"] if rng.random() < (0.1 if good else 0.9) else []
+        docs.append((i, " ".join(body + (["bad"] * 5 + ["worse", "worst", "awful"] if not good else [])), "x"))
+        if i % 8 < 6:
+            labels.append((i, int(good), 0))
+    kept = {r.doc_id for r in importance.resample(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)).collect()}
+    fine = [i for i in range(1200) if i % 4]
+    assert len([i for i in fine if i in kept]) >= 0.98 * len(fine) and not [i for i in range(0, 1200, 4) if i in kept]
+
+
 def test_nothing_known(spark, corpus):
     docs, labels, _ = corpus
     frame, empty = spark.createDataFrame(docs[:30] + docs[-7:], DOC), spark.createDataFrame([], LABEL)

@@ -35,6 +35,8 @@ def test_quality_keeps_good_and_rejects_bad(spark, sf, stages):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     good = [r.doc_id for r in labels if r.quality == 1 and not r.toxic]
     assert len([d for d in good if d in kept]) >= 0.97 * len(good)
+    written = [r.doc_id for r in before.collect() if not re.search(r"!!|[*]{3}|&&&|%%%|[$]{3}|###| [|] |idiot|moron|clown|scum|worthless|pathetic|stupid|disgusting", r.text)]
+    assert len([d for d in written if d in kept]) >= 0.95 * len(written)
 
 
 def test_one_of_each_group_stays(stages):

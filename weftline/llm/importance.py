@@ -145,7 +145,8 @@ def weighted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     slim = materialise(out.select(F.col(key).cast("long").alias("_key"), F.col(weight).alias("_weight"), F.col(draw).alias("_draw")), "importance")
     held = slim.join(chosen, slim["_key"] == chosen["_lkey"]).filter(~F.col("_target"))
     n = held.count()
-    level = -kth_largest(held.select((-F.col("_weight")).alias("w")), "w", n - int(spare * n)) if n else float("-inf")
+    missed = int(spare * n)  # so many held-out good documents may fall below the level
+    level = -kth_largest(held.select((-F.col("_weight")).alias("w")), "w", missed + 1) if n else float("-inf")
     k = slim.filter(F.col("_weight") >= level).count()
     least = kth_largest(slim, "_draw", k) if k else float("inf")
     return out, weight, draw, least
