@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20  # text handled at once inside a task
+SLICE_BYTES = 1 << 20  # text handled at once inside a task
 COUNTER_BITS = 18      # counters of a corpus-wide frequency table
 _BLOCK = 4096          # counters that travel in one row
 
@@ -25,6 +25,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def words(text) -> tuple[np.ndarray, pa.Array]:
