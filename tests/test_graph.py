@@ -150,28 +150,6 @@ def test_slices_solve_exactly(spark, size):
             assert np.allclose([got[v] for v in nodes], x - x[0], atol=1e-6)
 
 
-@pytest.mark.parametrize("width,widest", [(16, 4096), (192, 4096), (8, 8)])
-def test_local_solver(monkeypatch, width, widest):
-    """Slices and the iterative fallback agree with dense least squares."""
-    monkeypatch.setattr(robust, "_WIDEST", widest)
-    rng = random.Random(width)
-    _, rows = _line_system(3, 120)
-    if widest == 8:  # a graph without local structure
-        rows = [(r[0], r[1] - r[1] % 1000 + rng.randrange(120), r[2], r[3], 1.0, r[5]) for r in rows]
-        rows = [r for r in rows if r[1] != r[2]]
-    i, j, y = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-    ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    p, q = at[: len(i)], at[len(i):]
-    part = robust._labels(len(ids), p, q)
-    w = 1.0 + np.arange(len(y)) % 4
-    x = robust._solve(len(ids), p, q, y, w, part, robust._coordinates(len(ids), p, q, y, part), width)
-    for c in (0, 1):
-        mine = [k for k, r in enumerate(rows) if r[0] == c]
-        nodes, want, _ = _lstsq([rows[k] for k in mine], w[mine])
-        at = np.searchsorted(ids, nodes)
-        assert len(set(part[at])) == 1 and np.allclose(x[at] - x[at][0], want - want[0], atol=1e-5)
-
-
 def test_conjugate_gradient_agrees(spark):
     _, rows = _line_system(n=12)
     frame = spark.createDataFrame([(r[1], r[2], r[3], 1.0) for r in rows], "i long, j long, y double, w double")
@@ -210,12 +188,11 @@ def _plain_huber(rows, thr1, thr2, rounds, gate):
     [
         ("p99", 20.0, 80.0, ScaleBounds()),
         ("p95", 20.0, 60.0, ScaleBounds()),
-        ("p99", 20.0, 80.0, ScaleBounds(fit_nodes=10, slice_nodes=64, finish_edges=50)),
-        ("p95", 20.0, 60.0, ScaleBounds(fit_nodes=10, slice_nodes=64)),
+        ("p99", 20.0, 80.0, ScaleBounds(slice_nodes=64, finish_edges=50)),
     ],
 )
 def test_robust_fit(spark, gate, thr1, thr2, bounds):
-    """The local and the distributed fit both follow the plain iteration."""
+    """Few and many slices both follow the plain iteration."""
     _, rows = _line_system(7, 50)
     got = {r.node: r.x for r in robust.robust_fit(spark.createDataFrame(rows, SCHEMA), thr1, thr2, 50, gate, bounds).collect()}
     for c in (0, 1):

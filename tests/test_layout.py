@@ -163,7 +163,7 @@ def test_modes_treat_chimeras_and_lone_contigs_differently(spark, noisy):
 
 def test_bounds_do_not_change_the_layout(spark, sf, noisy):
     """The distributed routes give what the bounded kernels give."""
-    tight = AssemblyConfig(rounds=1, scale=ScaleBounds(finish_edges=200, fit_nodes=50, slice_nodes=64, chain_reads=45, poa_depth=3))
+    tight = AssemblyConfig(rounds=1, scale=ScaleBounds(finish_edges=200, slice_nodes=64, chain_reads=45, poa_depth=3))
     pick = lambda config: sorted(plan.layout_contigs(noisy, config).select("contig_id", "read_id", "start", "dir", "rank").collect())
     assert pick(tight) == pick(AssemblyConfig(rounds=1))
 

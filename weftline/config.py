@@ -50,8 +50,6 @@ class ScaleBounds:
     """
 
     finish_edges: int = 100_000    # contracted edges one task may finish
-    fit_nodes: int = 20_000         # reads of one component in the local fit
-    fit_equations: int = 2_000_000  # equations of one component in the local fit
     slice_nodes: int = 1024        # unknowns eliminated by one task
     chain_reads: int = 20_000      # reads split by one task
     poa_depth: int = 64            # slices aligned in one consensus task

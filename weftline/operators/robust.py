@@ -1,186 +1,23 @@
 """Robust positions by iteratively reweighted least squares with Huber weights.
 
-Components that fit the bounds are solved whole inside one task; larger ones iterate as
-Spark jobs on the slice solver. Both follow the same rounds.
+All components are fitted together as Spark jobs on the slice solver: small ones share
+slices, large ones spread over many. Each component stops by its own rounds and tests.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.config import ScaleBounds
-from weftline.operators.elimination import SliceSolver, condense, dense_laplacian, recover
+from weftline.operators.elimination import SliceSolver
 from weftline.operators.forest import spanning_forest
-from weftline.session import materialise, spread
+from weftline.session import materialise
 
-_WIDEST = 4096  # largest dense block of the local solver
 _STILL = 10.0  # fixed value: estimates moving less than this have settled
-_FIT = "component long, layout long, node long, x long"
 _GATES = {"p99": 0.99, "p95": 0.95}
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
-def _coordinates(n, p, q, y, part) -> np.ndarray:
-    """Breadth-first coordinates from the first node of every part."""
-    src, dst, step = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([y, -y])
-    by = np.argsort(src, kind="stable")
-    dst, step = dst[by], step[by]
-    first = np.searchsorted(src[by], np.arange(n + 1))
-    x, seen = np.zeros(n), part == np.arange(n)
-    front = np.flatnonzero(seen)
-    while front.size:
-        many = first[front + 1] - first[front]
-        at = np.repeat(first[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        base = np.repeat(x[front], many)
-        new = ~seen[dst[at]]
-        front, pick = np.unique(dst[at][new], return_index=True)
-        x[front] = (base + step[at])[new][pick]
-        seen[front] = True
-    return x
-
-
-def _summed(u, v, w, n):
-    """One entry per unordered pair."""
-    key, at = np.unique(np.minimum(u, v) * n + np.maximum(u, v), return_inverse=True)
-    return key // n, key % n, np.bincount(at, w, len(key))
-
-
-def _iterated(n, u, v, w, rhs, tolerance: float = 1e-12) -> np.ndarray:
-    """Conjugate gradients on the entries that still have edges."""
-    live = np.zeros(n, bool)
-    live[u] = live[v] = True
-    x, r = np.zeros(n), np.where(live, rhs, 0.0)
-    step, norm = r.copy(), r @ r
-    goal = tolerance**2 * norm
-    for _ in range(20 * n):
-        if norm <= goal:
-            break
-        flow = w * (step[u] - step[v])
-        pushed = np.bincount(u, flow, n) - np.bincount(v, flow, n)
-        alpha = norm / (step @ pushed)
-        x += alpha * step
-        r -= alpha * pushed
-        before, norm = norm, r @ r
-        step = r + norm / before * step
-    return x
-
-
-def _solve(n, p, q, y, w, part, x0, width: int = 192) -> np.ndarray:
-    """Weighted solution with zero mean in every part, slice by slice along x0."""
-    rest = y - (x0[q] - x0[p])
-    rhs = np.bincount(q, w * rest, n) - np.bincount(p, w * rest, n)
-    u, v, wt = _summed(p, q, w, n)
-    nodes, stack, x = np.lexsort((x0, part)), [], np.zeros(n)
-    anchor = part == np.arange(n)
-    while len(u):
-        place = np.full(n, -1)
-        place[nodes] = np.arange(len(nodes))
-        box = place // width
-        cross = box[u] != box[v]
-        keep = anchor.copy()
-        keep[u[cross]] = keep[v[cross]] = True
-        if width < len(nodes) and keep[nodes].sum() > 0.8 * len(nodes):
-            width *= 2
-            if width <= _WIDEST:
-                continue
-            # no order keeps this graph local; such graphs converge quickly instead
-            x = _iterated(n, u, v, wt, rhs)
-            x -= x[part]
-            break
-        inside = np.flatnonzero(~cross)
-        inside = inside[np.argsort(box[u[inside]], kind="stable")]
-        count = -(-len(nodes) // width)
-        edge_at = np.searchsorted(box[u[inside]], np.arange(count + 1))
-        fill = [(u[cross], v[cross], wt[cross])]
-        for k in range(count):
-            own, e = nodes[k * width:(k + 1) * width], inside[edge_at[k]:edge_at[k + 1]]
-            full = dense_laplacian(len(own), place[u[e]] - k * width, place[v[e]] - k * width, wt[e])
-            kept = keep[own]
-            stack.append((own, ~kept, kept, rhs[own], full))
-            small, shift = condense(full, ~kept, kept, rhs[own])
-            left = own[kept]
-            rhs[left] += shift
-            a, b = np.triu_indices(left.size, 1)
-            hit = -small[a, b] > 1e-14
-            fill.append((left[a[hit]], left[b[hit]], -small[a, b][hit]))
-        u, v, wt = _summed(*(np.concatenate(c) for c in zip(*fill)), n)
-        nodes = nodes[keep[nodes]]
-    for own, inner, kept, side, full in reversed(stack):
-        if inner.any():
-            x[own[inner]] = recover(full, inner, kept, side, x[own[kept]])
-    x += x0
-    mean = np.bincount(part, x, n) / np.maximum(np.bincount(part, minlength=n), 1)
-    return x - mean[part]
-
-
-def _fit_one(i, j, y, scale, thr1, thr2, rounds, gate):
-    """Node ids, part labels and positions of one component."""
-    ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    p, q = at[: len(i)], at[len(i):]
-    part = _labels(len(ids), p, q)
-    share = _GATES[gate]
-
-    def residuals(x):
-        return scale * np.abs(y - (x[q] - x[p]))
-
-    x0 = _coordinates(len(ids), p, q, y, part)
-    x = _solve(len(ids), p, q, y, scale**2, part, x0)
-    r = residuals(x)
-    level = thr2 + 10 if gate == "p99" else np.quantile(r, share)
-    done = 0
-    while done < rounds and level > thr2:
-        if gate == "p95":
-            level = np.quantile(r, share)
-        w = np.where(r > thr1, thr1 / np.maximum(r, thr1), 1.0)
-        moved = _solve(len(ids), p, q, y, w * scale**2, part, x0)
-        r = residuals(moved)
-        if gate == "p99":
-            level = np.quantile(r, share)
-        shift = np.quantile(np.abs(moved - x), 0.95)
-        x = moved
-        if shift < _STILL:
-            break
-        done += 1
-    good = r <= thr2
-    p, q, y = p[good], q[good], y[good]
-    part = _labels(len(ids), p, q)
-    x = _solve(len(ids), p, q, y, np.ones(len(y)), part, _coordinates(len(ids), p, q, y, part))
-    used = np.zeros(len(ids), bool)
-    used[p] = used[q] = True
-    x = np.rint(x - x[part])
-    return ids[used], ids[part[used]], x[used]
-
-
-def _fit_pack(thr1, thr2, rounds, gate):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for component, rows in pdf.groupby("component", sort=False):
-            rows = rows.sort_values(["i", "j", "line_no"])
-            node, part, x = _fit_one(
-                rows.i.to_numpy(), rows.j.to_numpy(), rows.y.to_numpy(), rows.scale.to_numpy(), thr1, thr2, rounds, gate
-            )
-            out.append(pd.DataFrame({"component": component, "layout": part, "node": node, "x": x.astype("int64")}))
-        return pd.concat(out)
-
-    return run
-
-
 def exceeds(value, share: float, limit, strict: bool = True):
     """Whether the interpolated percentile is above `limit`, from counts and two extremes.
 
@@ -202,8 +39,8 @@ def _tree(eq: DataFrame, bounds: ScaleBounds) -> DataFrame:
     return materialise(spanning_forest(edges, bounds.finish_edges), "fit-tree")
 
 
-class _Large:
-    """Iterated fit over components too large for one task."""
+class _System:
+    """Equations with their tree coordinates, and the slices that solve them."""
 
     def __init__(self, eq: DataFrame, bounds: ScaleBounds, tree: DataFrame):
         self.places = tree
@@ -239,8 +76,8 @@ class _Large:
         )
 
 
-def _fit_large(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFrame:
-    fit = _Large(eq, bounds, _tree(eq, bounds))
+def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFrame:
+    fit = _System(eq, bounds, _tree(eq, bounds))
     share = _GATES[gate]
     over = exceeds(F.col("r"), share, thr2)
     base = F.col("scale") * F.col("scale")
@@ -249,7 +86,7 @@ def _fit_large(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) ->
     finished, done = [], 0
     state = rows.groupBy("component").agg(over.alias("over"))
     if gate == "p99":
-        state = state.withColumn("over", F.lit(True))
+        state = state.withColumn("over", F.lit(True))  # the read gate always runs one round
     state = materialise(state, "fit-state")
     while True:
         finished.append(rows.join(state.filter("not over"), "component", "left_semi"))
@@ -276,7 +113,7 @@ def _fit_large(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) ->
     tree = _tree(kept, bounds)
     same = [t.agg(F.count("*"), F.countDistinct("root")).first() for t in (tree, fit.places)]
     # with the parts unchanged the slices still serve; otherwise they are drawn anew
-    refit = fit if same[0] == same[1] else _Large(kept.drop("rest"), bounds, tree)
+    refit = fit if same[0] == same[1] else _System(kept.drop("rest"), bounds, tree)
     source = kept if refit is fit else refit.eq
     dx = refit.solve(source.withColumn("w", F.lit(1.0)))
     return refit.places.join(dx, "node").join(refit.nodes.select("component", "node"), "node").select(
@@ -291,27 +128,9 @@ def robust_fit(eq: DataFrame, thr1: float, thr2: float, rounds: int, gate: str =
     residuals above `thr2` are gone; it sits at x = 0. Nodes left without an equation
     do not appear. Scales other than 1 are divided by their component mean.
     """
-    sizes = eq.groupBy("component").agg(F.count("*").alias("n_eq"), F.avg("scale").alias("mean_scale"))
-    nodes = eq.select("component", F.explode(F.array("i", "j")).alias("node")).distinct().groupBy("component").agg(F.count("*").alias("n_nodes"))
-    small = (F.col("n_nodes") <= bounds.fit_nodes) & (F.col("n_eq") <= bounds.fit_equations)
-    sizes = materialise(sizes.join(nodes, "component").withColumn("small", small), "fit-sizes")
-    of_small = lambda c: F.coalesce(F.sum(F.when(F.col("small"), F.col(c))), F.lit(0))
-    n_small, n_large, nodes_small, eq_small = sizes.agg(
-        F.count(F.when(F.col("small"), 1)), F.count(F.when(~F.col("small"), 1)), of_small("n_nodes"), of_small("n_eq")
-    ).first()
-    rows = eq.join(sizes.select("component", "mean_scale", "small"), "component").withColumn(
-        "scale", F.col("scale") / F.col("mean_scale")
-    )
-    results = []
-    if n_small or not n_large:
-        packs = max(1, -(-nodes_small // bounds.fit_nodes), -(-eq_small // bounds.fit_equations))
-        packed = rows.filter("small").withColumn("pack", F.pmod(F.hash("component"), F.lit(packs)))
-        packed = packed.select("pack", "component", "i", "j", "y", "scale", "line_no")
-        results.append(spread(packed, "pack").groupBy("pack").applyInPandas(_fit_pack(thr1, thr2, rounds, gate), _FIT))
-    if n_large:
-        large = materialise(rows.filter("not small").select("component", "i", "j", "y", "scale", "line_no"), "large-equations")
-        results.append(_fit_large(large, thr1, thr2, rounds, gate, bounds))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return materialise(out, "positions")
+    means = eq.groupBy("component").agg(F.avg("scale").alias("mean_scale"))
+    rows = eq.join(means, "component").withColumn("scale", F.col("scale") / F.col("mean_scale"))
+    rows = materialise(rows.select("component", "i", "j", "y", "scale", "line_no"), "fit-rows")
+    if rows.isEmpty():
+        return rows.select("component", F.col("i").alias("layout"), F.col("i").alias("node"), F.col("i").alias("x"))
+    return materialise(_fit(rows, thr1, thr2, rounds, gate, bounds), "positions")
