@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,7 +23,7 @@ def sf():
 
 @pytest.fixture(scope="session")
 def clean(spark, sf):
-    from weftline import fixtures
+    from workload import fixtures
     from weftline.session import materialise
 
     return materialise(fixtures.paf(spark, sf), "test-paf")
@@ -30,7 +31,13 @@ def clean(spark, sf):
 
 @pytest.fixture(scope="session")
 def noisy(clean):
-    from weftline import fixtures
+    from workload import fixtures
     from weftline.session import materialise
 
     return materialise(fixtures.paf_noisy(clean), "test-noisy")
+
+
+def whole_sequences(pieces, keys):
+    """One string per contig, for contigs that fit a single value."""
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "block", "seq")))
+    return pieces.groupBy(*keys).agg(F.concat_ws("", F.transform(ordered, lambda p: p["seq"])).alias("seq"))

@@ -59,8 +59,8 @@ def test_forest_shifts_follow_true_positions(spark, bound):
 
 def test_orientation_outvotes_wrong_signs(spark, sf):
     """Every read ends in its true direction, and no read's links contradict it."""
-    from weftline import fixtures as fx
-    from weftline.plans import catalog
+    from workload import fixtures as fx
+    from workload import catalog
 
     used = catalog._flipped_votes(catalog._used(spark, sf))
     edges = overlaps.orientation_edges(used)

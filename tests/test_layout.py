@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline import fixtures as fx
+from workload import fixtures as fx
 from weftline.config import AssemblyConfig, ScaleBounds
 from weftline.functions import geometry as G
 from weftline.operators import chains, chimera, equations, layout, orient, overlaps, ranks
@@ -91,7 +91,7 @@ def test_chains_match_the_plain_walk(spark, sf, clean, size, exclude_last):
 
 def test_chain_counts_of_the_fixture(spark):
     sf = "/root/testdata/sf0.01"
-    from weftline.plans import catalog
+    from workload import catalog
 
     counts = sorted((r.n_reads for r in catalog.layout_split_noisy(spark, sf).collect()), reverse=True)
     assert counts == [1978] + [1] * 22
@@ -170,7 +170,7 @@ def test_bounds_do_not_change_the_layout(spark, sf, noisy):
 
 def test_broken_contigs_are_joined_again(spark, sf, clean):
     """A genome cut into turned bins comes back as one contig in its true order."""
-    from weftline.plans import catalog
+    from workload import catalog
 
     rows = catalog.contig_round(spark, sf).orderBy("rank").collect()
     truth = [r.read_id for r in fx.sim_reads(spark, sf).orderBy("g_start", "read_id").collect()]

@@ -4,7 +4,8 @@ import glob
 
 from pyspark.sql import functions as F
 
-from weftline import fixtures
+from tests.conftest import whole_sequences
+from workload import fixtures
 from weftline.functions import geometry as G
 from weftline.functions import sequences as S
 from weftline.operators import stitch
@@ -62,7 +63,7 @@ def test_fasta_sink_wraps_across_pieces(spark, tmp_path):
 
 def test_whole_sequences(spark):
     pieces = spark.createDataFrame([(1, 3, 1, "TT"), (1, 0, 0, "ACG")], "contig_no long, offset long, block long, seq string")
-    assert stitch.whole_sequences(pieces, ["contig_no"]).first().seq == "ACGTT"
+    assert whole_sequences(pieces, ["contig_no"]).first().seq == "ACGTT"
 
 
 def test_offset_is_antisymmetric(spark, sf):

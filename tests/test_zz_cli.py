@@ -3,7 +3,7 @@
 import glob
 
 from weftline import __main__ as cli
-from weftline import fixtures as fx
+from workload import fixtures as fx
 from weftline.functions.sequences import wrapped
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline import fixtures as fx
+from workload import fixtures as fx
 from weftline.config import AssemblyConfig
 from weftline.functions import geometry as G
 from weftline.functions import sequences as seqs
@@ -201,6 +201,12 @@ def equations_indel(spark, sf):
 # Graph
 
 def components(spark, sf):
+    """Reads linked by any usable overlap."""
+    edges = overlaps.orientation_edges(_clean(spark, sf))
+    return forest.connected_components(edges).select(F.col("node").alias("read_id"), F.col("root").alias("component"))
+
+
+def components_binned(spark, sf):
     """Reads linked inside bins of 37 ids."""
     edges = overlaps.orientation_edges(_clean(spark, sf))
     inside = edges.filter(F.expr("u div 37 = v div 37"))
@@ -473,7 +479,7 @@ QUERIES = {
         dangling_lengths, dangling_filter, overlap_counts, inconsistent_overlaps, reach_by_end, chimera_candidates,
         chimera_filtered_overlaps, low_quality_counts, blasr_chimera, mhap_chimera, read_lengths, overlaps_per_pair,
         edge_weight_last, edge_links_first, orientation_votes, vote_probability, read_offset, start_offset,
-        equations_plain, equations_weighted, equations_indel, equations_visit_order, components, spanning_orientation, spanning_orientation_rooted, greedy_orientation,
+        equations_plain, equations_weighted, equations_indel, equations_visit_order, components, components_binned, spanning_orientation, spanning_orientation_rooted, greedy_orientation,
         orientation_conflicts, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
         robust_positions_weighted, residual_percentiles, layout_split, layout_split_noisy, layout_index, layout_spans,
         contig_end_overlaps, contig_votes, contig_orientation, contig_offset_median, contig_positions, contig_merge,

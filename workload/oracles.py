@@ -194,7 +194,11 @@ BODIES = {
     "equations_visit_order": """SELECT a AS u, b AS v, abs((CASE WHEN t.strand = 1 THEN t.g_start ELSE t.g_end END)
       - (CASE WHEN s.strand = 1 THEN s.g_start ELSE s.g_end END)) AS gap FROM uc o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b""",
     "spanning_orientation_rooted": "SELECT s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = 7",
-    "components": """SELECT read_id, (read_id // 37) * 37 AS component FROM sim
+    "components": """SELECT read_id, first_value(read_id) OVER (PARTITION BY run ORDER BY read_id) AS component FROM (
+      SELECT read_id, sum(fresh) OVER (ORDER BY g_start, read_id) AS run FROM (
+        SELECT read_id, g_start, CASE WHEN max(g_end) OVER (ORDER BY g_start, read_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= g_start + 1000 THEN 0 ELSE 1 END AS fresh
+        FROM sim WHERE read_id IN (SELECT a FROM uc UNION SELECT b FROM uc)))""",
+    "components_binned": """SELECT read_id, (read_id // 37) * 37 AS component FROM sim
       WHERE (read_id // 37) * 37 + 1 < (SELECT count(*) FROM sim)""",
     "spanning_orientation": """SELECT s.read_id, z.read_id AS component, s.strand * z.strand AS dir FROM sim s, sim z
       WHERE z.read_id = (SELECT min(a) FROM un)""",
