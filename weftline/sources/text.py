@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.geometry import read_id
-from weftline.operators.ranks import global_rank
 
 # Positions of the fields in each whitespace-separated format.
 PAF_FIELDS = [
@@ -43,19 +42,27 @@ def fields_of(lines: DataFrame, layout, keep=("line_no",)) -> DataFrame:
     return row.select(*keep, *columns)
 
 
+_FILE_BITS, _ROW_BITS = 43, 33  # bytes of a file; rows of a partition in monotonically_increasing_id
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a number that increases in file order."""
+    """Text lines with a number that increases in file order, without a shuffle.
+
+    The number is the file's place among the sorted names, the byte at which the line's
+    split begins and its row number in the task. A split with another one after it fills a
+    task alone, and a line has a byte at least, so numbers of a split end before the next.
+    """
     lines = spark.read.text(path)
-    if len(lines.inputFiles()) <= 1:
+    files = sorted(lines.inputFiles())
+    if len(files) <= 1:
         return lines.select(F.monotonically_increasing_id().alias("line_no"), "value")
+    places = spark.createDataFrame(list(enumerate(files)), "_place long, _file string")  # the list the driver has read
     located = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
+        "value", F.input_file_name().alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1).alias("_row"),
     )
-    ranked = global_rank(located, ["file", "block", "seq"])
-    return ranked.select(F.col("rank").alias("line_no"), "value")
+    number = F.shiftleft("_place", _FILE_BITS) + F.col("_start") + F.col("_row")
+    return located.join(F.broadcast(places), "_file").select(number.alias("line_no"), "value")
 
 
 def parse_paf(lines: DataFrame) -> DataFrame:
