@@ -93,3 +93,27 @@ marked AS (SELECT r.*, p.whole, p.rest, md5('9:' || p.whole::INTEGER || ':' || d
 ran AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS run FROM marked)
 SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, (whole + CASE WHEN rest > 0 AND run <= rest THEN 1 ELSE 0 END)::INTEGER AS taken FROM ran
 """
+
+ORACLE_SQL["op2_warc_archives"] = """
+WITH sized AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), headed AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN head <> page_id THEN head END AS refers_to FROM headed
+"""
+
+ORACLE_SQL["op4_cross_polytope_duplicates"] = """
+WITH RECURSIVE unit AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), least AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
