@@ -49,7 +49,7 @@ class ScaleBounds:
     Whatever exceeds a bound takes the distributed route; nothing is dropped.
     """
 
-    finish_edges: int = 100_000    # contracted edges one task may finish
+    finish_edges: int = 1_000      # contracted edges one task may finish
     slice_nodes: int = 1024        # unknowns eliminated by one task
-    chain_reads: int = 20_000      # reads split by one task
+    chain_reads: int = 512         # reads split by one task
     poa_depth: int = 64            # slices aligned in one consensus task

@@ -133,7 +133,7 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "parent", "sgn", "shift"])
 
 
-def spanning_forest(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
+def spanning_forest(edges: DataFrame, finish_edges: int = 1_000) -> DataFrame:
     """edges(u, v, w, sgn, shift) -> (node, root, sgn, shift).
 
     An edge states sign(v) = sgn * sign(u) and x(v) = x(u) + shift. The result is
@@ -165,7 +165,7 @@ def spanning_forest(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, finish_edges: int = 100_000) -> DataFrame:
+def connected_components(edges: DataFrame, finish_edges: int = 1_000) -> DataFrame:
     """edges(u, v) -> (node, root) with the smallest node as root."""
     plain = edges.select("u", "v", F.lit(1.0).alias("w"), F.lit(1).alias("sgn"), F.lit(0.0).alias("shift"))
     return spanning_forest(plain, finish_edges).select("node", "root")
@@ -177,7 +177,7 @@ def oriented_from(facing: DataFrame, node: int) -> DataFrame:
     return facing.join(start, "root").withColumn("dir", (F.col("dir") * F.col("_turn")).cast("int")).drop("_turn")
 
 
-def spanning_orientation(links: DataFrame, min_strength: float, finish_edges: int = 100_000) -> DataFrame:
+def spanning_orientation(links: DataFrame, min_strength: float, finish_edges: int = 1_000) -> DataFrame:
     """links(u, v, strength, sgn) -> (node, root, dir) along the strongest tree.
 
     Links whose votes cancel say nothing about direction and are left out.
