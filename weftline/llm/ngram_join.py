@@ -216,6 +216,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     stars = stars.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
     edges = stars.select(F.col("sid").alias("u"), F.col("pivot").alias("v"))
     joined = components(edges, "ngram-components")
+    stars, joined = _more_pivots(buckets, stars, joined, fetch, num, den)
     final = _between_stars(buckets, stars, joined, fetch, num, den)
     rows = signed.select("doc_id", "n_shingles", "hi", "lo", "rid", "th")
     sid_of = heads.join(final.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "sid", F.coalesce("component", "sid").alias("group"))
@@ -239,6 +240,7 @@ def _asked(total, num: int, den: int):
     return F.ceil(num * total / (num + den) - 1e-6)
 
 
+PIVOT_ROUNDS = 3          # further pivots tried before stars are compared; steers cost only
 BROADCAST_ROWS = 200_000  # up to so many document keys travel to every task
 
 
@@ -258,6 +260,39 @@ def _extended(joined: DataFrame, links: DataFrame) -> DataFrame:
     return components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links), "ngram-components")
 
 
+def _more_pivots(buckets: DataFrame, stars: DataFrame, joined: DataFrame, fetch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Stars and components after PIVOT_ROUNDS further tries with other pivots.
+
+    In a bucket that still holds several components every set meets one more member,
+    drawn by a hash, and keeps the pivot with which it shares most. Sets that link join
+    that component, so that few stars are left to be compared with each other.
+    """
+    for turn in range(PIVOT_ROUNDS):
+        placed = (
+            buckets.select("sig", "sid", "n", "slack").join(joined.withColumnRenamed("node", "sid"), "sid", "left")
+            .withColumn("component", F.coalesce("component", "sid"))
+        )
+        lead = F.min_by(F.struct("sid", "n", "slack", "component"), F.xxhash64("sid", F.lit(turn)))
+        mixed = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), lead.alias("lead")).filter("c0 < c1").select("sig", "lead")
+        met = placed.join(mixed, "sig").filter("component <> lead.component").groupBy("sid", "lead").agg(
+            F.count("*").alias("k"), F.first("n").alias("n"), F.first("slack").alias("slack")
+        )
+        room = _room(F.col("n"), F.col("slack"), F.col("lead.n"), F.col("lead.slack"), F.col("k"))
+        pivots = materialise(
+            met.filter(room >= _asked(F.col("n") + F.col("lead.n"), num, den))
+            .groupBy("sid").agg(F.max_by("lead.sid", F.struct("k", -F.col("lead.sid"))).alias("pivot")),
+            "ngram-pivots",
+        )
+        if not pivots.limit(1).count():
+            break
+        sets = fetch(pivots.select("sid").unionByName(pivots.select(F.col("pivot").alias("sid"))).distinct())
+        linked = materialise(_compare(pivots.select(F.col("sid").alias("a"), F.col("pivot").alias("b")), sets, num, den).filter("linked"), "ngram-stars")
+        linked = linked.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "distance")
+        stars = materialise(stars.unionByName(linked.join(stars.select("sid"), "sid", "left_anti")), "ngram-stars")
+        joined = _extended(joined, linked.select(F.col("sid").alias("u"), F.col("pivot").alias("v")))
+    return stars, joined
+
+
 def _between_stars(buckets: DataFrame, stars: DataFrame, joined: DataFrame, fetch, num: int, den: int) -> DataFrame:
     """Components (node, component) after the links between members of different ones that share signatures."""
     slack = 1 - num / den + 1e-9
