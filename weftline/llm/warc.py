@@ -76,6 +76,13 @@ class _File:
 _MANIFEST = "file string, shard long, part int, records long, bytes long, sha1 string"
 
 
+def _packing(batches):
+    """html as compressed bytes, since texts are shuffled twice on their way to a shard."""
+    for batch in batches:
+        packed = [zlib.compress(text.encode(), LEVEL) for text in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_p", "_u", "_d")], pa.array(packed, pa.binary())], names=["_p", "_u", "_d", "packed"])
+
+
 def _writing(folder: str, file_bytes: int, level: int):
     def run(batches):
         from pyarrow import fs
@@ -90,7 +97,7 @@ def _writing(folder: str, file_bytes: int, level: int):
                     done.append(file.close())
                     file = _File(system, base, row["shard"], part)
                 file = file or _File(system, base, row["shard"], 0)
-                file.add(_member(_record(row, (row["html"] or "").encode()), level))
+                file.add(_member(_record(row, zlib.decompress(row["packed"]) if row["packed"] else b""), level))
         if file:
             done.append(file.close())
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int64()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
@@ -139,12 +146,12 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     # the same text, so one is kept before the shuffle); revisits carry none
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     texts = pages.select(F.col("page_id").cast("long").alias("_p"), F.col("url").cast("string").alias("_u"), F.sha1(F.encode(html, "UTF-8")).alias("_d"), html.alias("html"))
-    texts = texts.groupBy("_p", "_u", "_d").agg(F.first("html").alias("html"))
+    texts = texts.mapInArrow(_packing, "_p long, _u string, _d string, packed binary").groupBy("_p", "_u", "_d").agg(F.first("packed").alias("packed"))
     full = placed.filter("record_type = 'response'")
     on = full["page_id"].eqNullSafe(texts["_p"]) & full["url"].eqNullSafe(texts["_u"]) & (full["payload_digest"] == texts["_d"])
     columns = ["shard", "serial", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    responses = full.join(texts, on).select(*columns, "html")
-    revisits = placed.filter("record_type = 'revisit'").select(*columns, F.lit("").alias("html"))
+    responses = full.join(texts, on).select(*columns, "packed")
+    revisits = placed.filter("record_type = 'revisit'").select(*columns, F.lit(None).cast("binary").alias("packed"))
     tasks = min(shards, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     manifest = responses.unionByName(revisits).repartition(tasks, "shard").sortWithinPartitions("shard", "serial").mapInArrow(_writing(f"{folder}/data", file_bytes, level), _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
