@@ -67,3 +67,15 @@ def test_same_bytes_again_and_manifest(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_missing_files_and_records_are_errors(spark):
+    folder = "file://" + tempfile.mkdtemp(prefix="warc-")
+    manifest = warc.write(spark.createDataFrame([(*r, "f") for r in pages()], SCHEMA), folder, shard_bytes=20_000, file_bytes=2_000)
+    assert warc.read(spark, folder, manifest).count() == len(pages())
+    with pytest.raises(Exception, match="records, the manifest says"):
+        warc.read(spark, folder, manifest.withColumn("records", manifest["records"] + 1)).count()
+    rows = manifest.collect()
+    lost = spark.createDataFrame([*rows, rows[0].asDict() | {"file": "lost.warc.gz"}], manifest.schema)
+    with pytest.raises(Exception, match="not in the folder"):
+        warc.read(spark, folder, lost).count()

@@ -181,12 +181,15 @@ _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def _reading(batches):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())])
     for batch in batches:
-        for name, data, size, digest in zip(*[batch.column(c) for c in ("file", "content", "bytes", "sha1")]):
+        for name, data, size, digest, listed in zip(*[batch.column(c) for c in ("file", "content", "bytes", "sha1", "records")]):
             data = data.as_py()
+            if data is None:
+                raise ValueError(f"{name} is in the manifest but not in the folder")
             if len(data) != size.as_py() or hashlib.sha1(data).hexdigest() != digest.as_py():
                 raise ValueError(f"{name} is not the file of the manifest")
-            rows, held = [], 0
+            rows, held, found = [], 0, 0
             for headers, block in records(data):
+                found += 1
                 digest_of, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                 if hashlib.sha1(block).hexdigest() != headers["WARC-Block-Digest"].removeprefix("sha1:") or kind == "response" and hashlib.sha1(block).hexdigest() != digest_of:
                     raise ValueError(f"digest of {headers['WARC-Record-ID']} differs")
@@ -196,6 +199,8 @@ def _reading(batches):
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows, held = [], 0
+            if found != listed.as_py():
+                raise ValueError(f"{name} has {found} records, the manifest says {listed}")
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -203,11 +208,14 @@ def _reading(batches):
 def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """The records of the files that the manifest lists; html is null for revisits.
 
-    Sizes and digests of files and records are checked; a difference is an error.
+    Sizes, digests and numbers of records are checked; a difference is an error, and so is
+    a file that the manifest lists and the folder lacks.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{folder}/data")
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.join(manifest, "file").select("file", "content", "bytes", "sha1").mapInArrow(_reading, _RECORDS)
+    columns = ["file", "content", "bytes", "sha1", "records"]
+    lacking = manifest.join(named.select("file"), "file", "left_anti").withColumn("content", F.lit(None).cast("binary"))  # apart, so that contents are not shuffled
+    return named.join(manifest, "file").select(*columns).unionByName(lacking.select(*columns)).mapInArrow(_reading, _RECORDS)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
