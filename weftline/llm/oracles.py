@@ -117,3 +117,37 @@ WITH RECURSIVE unit AS (
 )
 SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least
 """
+
+_CRC_TABLE = """steps AS (
+    SELECT n::BIGINT AS n, n::BIGINT AS v, 0 AS k FROM range(0, 256) r(n)
+    UNION ALL
+    SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY n) AS v FROM steps WHERE k = 8)"""
+
+ORACLE_SQL["op11_burst_trie"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turn AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS ts FROM turn GROUP BY conv_id
+), opened AS (
+    SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+        lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1]))) % 6 AS h FROM own, crc
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.ts[1:o.h], []), o.ts[o.h + 1:]) AS ts FROM opened o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), node AS (
+    SELECT ts[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * coalesce(length(any_value(ts[d].text)), 0) AS saved
+    FROM rebuilt, unnest(range(0, len(ts) + 1)) u(d) GROUP BY 1, 2
+), finish AS (
+    SELECT ts AS p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM rebuilt GROUP BY ts
+), kids AS (
+    SELECT p[1:d - 1] AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1
+), whole AS (
+    SELECT n.*, coalesce(k.kids, 0) AS kids FROM node n LEFT JOIN kids k USING (p)
+), below AS (
+    SELECT p[1:k] AS p, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves FROM whole, unnest(range(0, d + 1)) u(k) GROUP BY 1
+)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n::BIGINT AS n_convs, w.kids::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+    b.saved::BIGINT AS saved_tokens, coalesce(f.ends, sha256('')) AS ends_sha256
+FROM whole w JOIN below b USING (p) LEFT JOIN finish f USING (p) LEFT JOIN node up ON w.d > 0 AND up.p = w.p[1:w.d - 1]
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding, warc, wrappers
+from weftline.llm import burst_trie, decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding, warc, wrappers
 from weftline.llm.oracles import ORACLE_SQL
 
 QUERIES = {}
@@ -72,3 +72,8 @@ def op9_hierarchical_mixing(spark, folder):
 @_query
 def op10_randomness_secrets(spark, folder):
     return secrets.scan(_table(spark, folder, "documents"))
+
+
+@_query
+def op11_burst_trie(spark, folder):
+    return burst_trie.prefix_trie(_table(spark, folder, "conversations"))
