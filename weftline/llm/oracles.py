@@ -151,3 +151,63 @@ SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n::BIGIN
     b.saved::BIGINT AS saved_tokens, coalesce(f.ends, sha256('')) AS ends_sha256
 FROM whole w JOIN below b USING (p) LEFT JOIN finish f USING (p) LEFT JOIN node up ON w.d > 0 AND up.p = w.p[1:w.d - 1]
 """
+
+
+ORACLE_SQL["op12_toivonen_collocations"] = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece
+), placed AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), phrase AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM placed, unnest([1, 2, 3]) u(k) WHERE i + k - 1 <= len(w)
+), counted AS (
+    SELECT lang, k, phrase, count(*) AS f FROM phrase GROUP BY ALL
+), total AS (
+    SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), wanted AS (
+    SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+), longer AS (
+    SELECT lang, inside, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inside FROM wanted WHERE k = 3) GROUP BY ALL
+), free AS (
+    SELECT a.* FROM wanted a LEFT JOIN longer b ON a.lang = b.lang AND a.phrase = b.inside WHERE b.f IS NULL OR 100 * b.f < 50 * a.f
+), cut AS (
+    SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM free, unnest([1, 2]) u(c) WHERE c < k
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.c, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+    FROM cut c JOIN counted l ON l.lang = c.lang AND l.phrase = c.x JOIN counted r ON r.lang = c.lang AND r.phrase = c.y
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best QUALIFY rank <= 2000
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang)
+"""
+
+
+ORACLE_SQL["op13_suffix_array_dedup"] = """
+WITH body AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), window_at AS (
+    SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM body, unnest(range(0, greatest(n - 199, 0))) u(i)
+), twice AS (
+    SELECT r, i FROM window_at QUALIFY count(*) OVER (PARTITION BY m) > 1
+), marked AS (
+    SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM twice
+), grouped AS (
+    SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM marked
+), span AS (
+    SELECT r, g, min(i) AS a, max(i) + 200 AS z FROM grouped GROUP BY r, g
+), edges AS (
+    SELECT r, a, z FROM span UNION ALL SELECT r, n, n FROM body
+), kept AS (
+    SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) AS lo, a AS hi FROM edges
+), rest AS (
+    SELECT r, sha256(unhex(coalesce(string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo), ''))) AS sha FROM kept JOIN body USING (r) GROUP BY r
+), gone AS (
+    SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha AS kept_sha256
+FROM body JOIN rest USING (r) LEFT JOIN gone USING (r)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import burst_trie, decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding, warc, wrappers
+from weftline.llm import burst_trie, collocations, decontaminate, embedding_dups, importance, licences, mixing, ngram_join, secrets, sharding, suffix_dedup, warc, wrappers
 from weftline.llm.oracles import ORACLE_SQL
 
 QUERIES = {}
@@ -77,3 +77,14 @@ def op10_randomness_secrets(spark, folder):
 @_query
 def op11_burst_trie(spark, folder):
     return burst_trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
+@_query
+def op12_toivonen_collocations(spark, folder):
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+@_query
+def op13_suffix_array_dedup(spark, folder):
+    found = suffix_dedup.repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
