@@ -34,7 +34,7 @@ TOP = 2000               # phrases reported for a language
 SAMPLE = 8               # one document in so many proposes
 LOWERED = 2              # occurrences in the sample that propose
 MAX_BITS = 1 << 28       # of a bit table
-SLICE_BYTES = 4 << 20    # text counted at once inside a task
+SLICE_BYTES = 1 << 20    # text counted at once inside a task
 _BLOCK_BITS = 1 << 15    # of a bit table in one row
 _SALTS = 64
 _COUNTS = "lang string, k int, phrase string, n bigint"
@@ -166,6 +166,7 @@ def _counts(docs: DataFrame, now, before=None, sampling: bool = False) -> DataFr
         tables, earlier = sent.value
         for piece in common.slices(batches, "text", SLICE_BYTES):
             yield from _count_slice(piece.column("lang"), piece.column("text"), tables, earlier, sampling)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
