@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import AssemblyConfig, ScaleBounds
-from weftline.operators import elimination, forest, orient, overlaps, quantiles, robust
+from weftline.operators import elimination, forest, orient, overlaps, quantiles, robust, tree_walk
 
 
 def _random_graph(seed, n=60, m=90):
@@ -133,14 +133,14 @@ def _lstsq(rows, weights=None):
     return nodes, x, np.abs(a @ x - y)
 
 
-@pytest.mark.parametrize("size", [32, 5000])
-def test_slices_solve_exactly(spark, size):
+@pytest.mark.parametrize("size,finish", [(32, 200_000), (32, 0), (64, 300), (5000, 0)])
+def test_slices_solve_exactly(spark, size, finish):
     _, rows = _line_system()
     eq = spark.createDataFrame(rows, SCHEMA)
     order = eq.select(F.explode(F.array("i", "j")).alias("node")).distinct().select(
         "node", F.when(F.col("node") < 1000, 0).otherwise(1000).cast("long").alias("part"), F.col("node").cast("double").alias("pos")
     )
-    solver = elimination.SliceSolver(order, size)
+    solver = elimination.SliceSolver(order, size, finish)
     for weights in (lambda r: 1.0, lambda r: 1.0 + r[5] % 3):
         frame = spark.createDataFrame([(r[1], r[2], r[3], weights(r)) for r in rows], "i long, j long, y double, w double")
         got = {r.node: r.x for r in solver.solve(frame).collect()}
@@ -150,6 +150,22 @@ def test_slices_solve_exactly(spark, size):
             assert np.allclose([got[v] for v in nodes], x - x[0], atol=1e-6)
 
 
+@pytest.mark.parametrize("reach", [3, 400])
+def test_a_bounded_system_is_solved_box_by_box(reach):
+    """Narrow systems go by boxes, wide ones have none and are iterated; both match dense least squares."""
+    rng = np.random.default_rng(reach)
+    n = 900
+    u = np.concatenate([np.arange(n - 1), rng.integers(0, n, 4 * n)])
+    v = np.concatenate([np.arange(1, n), np.minimum(n - 1, u[n - 1:] + rng.integers(1, reach + 1, 4 * n))])
+    u, v = u[u != v], v[u != v]
+    w, rhs, fixed = rng.random(len(u)) + 0.1, rng.standard_normal(n), np.zeros(n, bool)
+    fixed[[0, 450]] = True
+    full = elimination.dense_laplacian(n, u, v, w)[np.ix_(~fixed, ~fixed)]
+    for width, widest in ((32, 64), (256, 4096)):
+        x = elimination.solve_along(u, v, w, rhs, fixed, width, widest)
+        assert np.allclose(x[~fixed], np.linalg.solve(full, rhs[~fixed]), atol=1e-7) and not x[fixed].any()
+
+
 def test_conjugate_gradient_agrees(spark):
     _, rows = _line_system(n=12)
     frame = spark.createDataFrame([(r[1], r[2], r[3], 1.0) for r in rows], "i long, j long, y double, w double")
@@ -189,6 +205,7 @@ def _plain_huber(rows, thr1, thr2, rounds, gate):
         ("p99", 20.0, 80.0, ScaleBounds()),
         ("p95", 20.0, 60.0, ScaleBounds()),
         ("p99", 20.0, 80.0, ScaleBounds(slice_nodes=64, finish_edges=50)),
+        ("p99", 20.0, 80.0, ScaleBounds(slice_nodes=64, finish_edges=50, finish_rows=0)),
     ],
 )
 def test_robust_fit(spark, gate, thr1, thr2, bounds):
@@ -224,3 +241,92 @@ def test_quantiles_with_heavy_ties(spark):
     assert len(got) == 8
     for r in got:
         assert abs(r.v - np.percentile([v for g, v in rows if g == r.g], r.share * 100)) < 1e-9
+
+
+def _links(kind, n=240):
+    if kind == "star":
+        return [(0, k, 5 + k % 3) for k in range(1, n)]
+    if kind == "rising path":
+        return [(k, k + 1, k + 1) for k in range(n - 1)]
+    return [(k, k + d, 13 - d) for k in range(n) for d in range(1, 13) if k + d < n]
+
+
+@pytest.mark.parametrize("kind", ["star", "rising path", "overlap chain"])
+def test_votes_merge_in_logarithmic_rounds(spark, monkeypatch, kind):
+    n, rng = 240, random.Random(4)
+    truth = [rng.choice((-1, 1)) for _ in range(n)]
+    rows = [(u, v, w * truth[u] * truth[v]) for u, v, w in _links(kind, n)]
+    u, v, sw = (np.array(x) for x in zip(*rows))
+    nodes, sets, sign, rounds = orient.merge_all(u, v, sw.astype(float))
+    assert len(set(sets.tolist())) == 1 and [sign[0] * s for s in sign] == [truth[0] * t for t in truth]
+    assert rounds <= 30
+    big = _links(kind, 20 * n)
+    assert orient.merge_all(*(np.array(x) for x in zip(*[(a, b, float(c)) for a, b, c in big])))[3] <= rounds + 20
+    made = []
+    keep = orient.materialise
+    monkeypatch.setattr(orient, "materialise", lambda df, name: made.append(name) or keep(df, name))
+    got = {r.node: r.sgn for r in orient.voted_signs(spark.createDataFrame(rows, "u long, v long, sw long"), 150).collect()}
+    assert got == {k: truth[0] * truth[k] for k in range(n)}
+    assert made.count("vote-pairs") <= rounds
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_divided_reads_match_a_greedy_choice(spark, seed):
+    rng = random.Random(seed)
+    rows = [(u, v, rng.choice((-1, 1, 1)) * rng.randint(1, 5)) for u in range(30) for v in range(u) if rng.random() < 0.3]
+    edges = spark.createDataFrame(rows, "u long, v long, sw long")
+    signs = orient.settled(orient.voted_signs(edges), edges).collect()
+    sgn = {r.node: r.sgn for r in signs}
+    left, want, weight = list(rows), [], defaultdict(int)
+    for u, v, w in rows:
+        weight[u] += abs(w)
+        weight[v] += abs(w)
+    while True:
+        against = defaultdict(int)
+        for u, v, w in left:
+            for n in (u, v):
+                against[n] += abs(w) * (w * sgn[u] * sgn[v] < 0)
+        stand = [(-against[n], n) for n in weight if against[n] and against[n] >= 0.3 * weight[n]]
+        if not stand:
+            break
+        a, n = min(stand)
+        want.append((n, -a, weight[n]))
+        left = [r for r in left if n not in r[:2]]
+    got = orient.divided(spark.createDataFrame(signs), edges, 0.3).collect()
+    assert want and sorted((r.node, r.against, r.weight) for r in got) == sorted(want)
+
+
+def test_a_read_set_aside_has_no_direction(spark):
+    """Read 50 is turned half-way: its links to the right contradict those to the left."""
+    rows = [(k, k + d, 10 * (-1 if 50 == k else 1)) for k in range(100) for d in range(1, 6) if k + d < 100]
+    edges = spark.createDataFrame(rows, "u long, v long, sw long")
+    over = spark.createDataFrame([(i, u, v) for i, (u, v, _) in enumerate(rows)], "line_no long, a long, b long")
+    for share, want in ((0.25, set(range(100)) - {50}), (None, set(range(100)))):
+        got = {r.read_id: r.dir for r in orient.orient_reads(over, edges, AssemblyConfig(divided_share=share)).collect()}
+        assert set(got) == want and {d for k, d in got.items() if k != 50} == {1}
+
+
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_walk_order(spark, bound):
+    rng = random.Random(9)
+    rows = [(v, rng.randrange(max(0, v - 40), v), float(rng.randint(1, 4))) for v in range(1, 120)]
+    rows += [(1000 + v, 1000, 2.0) for v in range(1, 40)] + [(3000, 3001, 1.0)] + [(5000 + k, 5000 + (k + 1) % 5, 1.0 + k) for k in range(5)]
+    near = defaultdict(list)
+    for u, v, w in rows:
+        if (u, v) != (5000, 5001):  # the lightest of the circle is not in the tree
+            near[u].append((-w, v))
+            near[v].append((-w, u))
+    want = {9999: 0}
+    for root in (17, 1003, 3001, 5002):
+        stack, met, at = [root], {root}, 0
+        while stack:
+            node = stack.pop()
+            want[node], at = at, at + 1
+            for _, other in sorted(near[node]):
+                if other not in met:
+                    met.add(other)
+                    stack.append(other)
+    edges = spark.createDataFrame(rows, "u long, v long, w double")
+    roots = spark.createDataFrame([(r,) for r in (17, 1003, 3001, 5002, 9999)], "node long")
+    got = {r.node: r.visit for r in tree_walk.walk_order(edges, roots, bound).collect()}
+    assert got == want

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from workload import fixtures as fx
 from weftline.config import AssemblyConfig, ScaleBounds
 from weftline.functions import geometry as G
-from weftline.operators import chains, chimera, equations, layout, orient, overlaps, ranks
+from weftline.operators import chains, chimera, equations, layout, orient, overlaps, ranks, robust
 from weftline.plans import assemble as plan
+from weftline.report import Report
+from weftline.rounds import Rounds, fingerprint
 from weftline.session import materialise
 
 
@@ -175,3 +177,42 @@ def test_broken_contigs_are_joined_again(spark, sf, clean):
     rows = catalog.contig_round(spark, sf).orderBy("rank").collect()
     truth = [r.read_id for r in fx.sim_reads(spark, sf).orderBy("g_start", "read_id").collect()]
     assert [r.read_id for r in rows] == truth
+
+
+def test_a_restarted_run_goes_on_after_the_last_finished_round(spark, sf, clean, tmp_path, monkeypatch):
+    config = AssemblyConfig(rounds=3)
+    paf = clean.filter("line_no < 1600")
+    rows = lambda df: sorted(map(tuple, df.select("contig_id", "read_id", "start", "dir", "rank").collect()))
+    want = rows(plan.layout_contigs(paf, config))
+    start = lambda: Rounds(spark, str(tmp_path / "kept"), config, fingerprint(paf))
+    with monkeypatch.context() as broken:
+        broken.setattr(plan, "contig_round", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            plan.layout_contigs(paf, config, rounds=start())
+    assert sorted(start().steps) == ["graph", "round1"]
+    with monkeypatch.context() as later:
+        later.setattr(plan, "load_graph", lambda *_: 1 / 0)
+        later.setattr(plan, "read_level", lambda *_: 1 / 0)
+        assert rows(plan.layout_contigs(paf, config, rounds=start())) == want
+        later.setattr(plan, "contig_round", lambda *_: 1 / 0)
+        assert rows(plan.layout_contigs(paf, config, rounds=start())) == want  # nothing is left to run
+    assert not start().steps["round1"] and start().steps["round2"] != {}
+    assert not [p for p in (tmp_path / "kept").rglob("round1-*")]
+    other = Rounds(spark, str(tmp_path / "kept"), AssemblyConfig(rounds=2), fingerprint(paf))
+    assert not other.steps and fingerprint(paf) != fingerprint(paf.limit(5))
+
+
+def test_a_report_costs_no_jobs(spark, clean, monkeypatch):
+    """The same writes happen with and without a report."""
+    made = []
+    keep = plan.materialise
+    for module in (plan, orient, robust):
+        monkeypatch.setattr(module, "materialise", lambda df, name: made.append(name) or keep(df, name))
+    config, counts = AssemblyConfig(), []
+    for report in (None, Report()):
+        made.clear()
+        plan.read_positions(plan.load_graph(clean, config, report), config, report).count()
+        counts.append(list(made))
+    assert counts[0] == counts[1]
+    values = report.values()
+    assert values["records"] == values["usable"] == values["reads_equations"] == clean.count() and values["reads_residual_max"] < 1

@@ -6,10 +6,13 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from weftline.config import AssemblyConfig
 from weftline.operators.stitch import fasta_lines
 from weftline.plans import assemble
+from weftline.report import Report
+from weftline.rounds import Rounds, fingerprint
 from weftline.session import drop_tables, materialise
 from weftline.sources import sinks, text
 
@@ -29,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-ms", type=int, default=None, help="largest component; accepted, has no effect")
     p.add_argument("-bw", type=int, default=12000, help="width of a consensus block [12000]")
     p.add_argument("--mode", choices=("intended", "compat"), default="intended", help="see README [intended]")
+    p.add_argument("--keep", metavar="FOLDER", default=None, help="shared folder of finished rounds; a run that was ended goes on from there")
     return p
 
 
@@ -50,12 +54,13 @@ def main(argv: list[str] | None = None) -> None:
         print("weftline: -ms has no effect, components of every size are treated alike", file=sys.stderr)
     config = config_from(args)
     paf = text.read_paf(spark, args.m)
-    layout = assemble.layout_contigs(paf, config)
-    pieces = assemble.consensus_pieces(layout, text.read_fasta(spark, args.r, config.delimiter), config)
-    pieces = materialise(pieces, "pieces")
-    sinks.write_fasta(fasta_lines(pieces), args.o)
-    for name, value in assemble.run_counts(paf, layout, pieces, config).collect():
-        print(f"{name}\t{value}", file=sys.stderr)
+    report = Report()
+    rounds = Rounds(spark, args.keep, config, fingerprint(paf)) if args.keep else None
+    pieces = assemble.assemble(paf, text.read_fasta(spark, args.r, config.delimiter), config, report, rounds)
+    done = report.watch(pieces, output_contigs=F.max("contig_no"), output_bases=F.sum(F.length("seq")))
+    sinks.write_fasta(fasta_lines(materialise(done, "pieces")), args.o)
+    for name, value in sorted(report.values().items()):
+        print(f"{name}\t{value:g}", file=sys.stderr)
     drop_tables(spark)
 
 

@@ -26,6 +26,7 @@ class AssemblyConfig:
     block_width: int = 12000
     block_overlap: int = 600
     join_min_score: int = 40
+    divided_share: float | None = None  # of a read's link weight against its direction that sets it aside, such as 0.25; None keeps all
     edge_use: str | None = None  # "both" or "visit_order"; None picks by mode
     scale: "ScaleBounds" = field(default_factory=lambda: ScaleBounds())
 
@@ -49,7 +50,9 @@ class ScaleBounds:
     Whatever exceeds a bound takes the distributed route; nothing is dropped.
     """
 
-    finish_edges: int = 1_000      # contracted edges one task may finish
+    finish_edges: int = 50_000     # contracted edges one task may finish
+    vote_edges: int = 200_000      # summed links one task may merge
     slice_nodes: int = 1024        # unknowns eliminated by one task
+    finish_rows: int = 200_000     # rows of a reduced system one task may finish
     chain_reads: int = 512         # reads split by one task
     poa_depth: int = 64            # slices aligned in one consensus task

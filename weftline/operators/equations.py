@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import geometry as G
+from weftline.report import Report, watched
 
 
 def oriented_overlaps(overlaps: DataFrame, orient: DataFrame) -> DataFrame:
@@ -23,12 +24,13 @@ def consistent():
 
 
 def equations(overlaps: DataFrame, orient: DataFrame, edge_use: str = "both", kind: str = "plain",
-              indel_ratio: float = 0.006875) -> DataFrame:
+              indel_ratio: float = 0.006875, report: Report | None = None) -> DataFrame:
     """(component, i, j, y, scale, line_no) with kind "plain", "weighted" or "indel".
 
     `edge_use` "visit_order" keeps only overlaps whose query was visited first.
     """
-    rows = oriented_overlaps(overlaps, orient).filter(consistent())
+    every = watched(report, oriented_overlaps(overlaps, orient), oriented=F.count(F.lit(1)), inconsistent=F.sum(F.when(consistent(), 0).otherwise(1)))
+    rows = every.filter(consistent())
     if edge_use == "visit_order":
         rows = rows.filter("va < vb")
     y = G.read_offset("da", "db")

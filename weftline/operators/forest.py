@@ -133,7 +133,7 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "parent", "sgn", "shift"])
 
 
-def spanning_forest(edges: DataFrame, finish_edges: int = 1_000) -> DataFrame:
+def spanning_forest(edges: DataFrame, finish_edges: int = 50_000) -> DataFrame:
     """edges(u, v, w, sgn, shift) -> (node, root, sgn, shift).
 
     An edge states sign(v) = sgn * sign(u) and x(v) = x(u) + shift. The result is
@@ -165,7 +165,50 @@ def spanning_forest(edges: DataFrame, finish_edges: int = 1_000) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, finish_edges: int = 1_000) -> DataFrame:
+def _finish_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of the remaining, bounded edge list that join two trees, best edge first."""
+    pdf = pdf.sort_values(["w", "h", "eu", "ev"], ascending=[False, False, True, True])
+    up: dict[int, int] = {}
+    rows = []
+    for u, v, eu, ev in zip(pdf.u.tolist(), pdf.v.tolist(), pdf.eu.tolist(), pdf.ev.tolist()):
+        while up.setdefault(u, u) != u:
+            up[u] = up[up[u]]
+            u = up[u]
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        if u != v:
+            up[v] = u
+            rows.append((eu, ev))
+    return pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
+
+
+def spanning_links(edges: DataFrame, finish_edges: int = 50_000) -> DataFrame:
+    """edges(u, v, w) -> the links (u, v, w) of the heaviest spanning forest, u < v, each once.
+
+    The same forest as `spanning_forest` goes along; a pair that occurs more than once has
+    its heaviest link.
+    """
+    start = edges.filter("u <> v").select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w", F.least("u", "v").alias("eu"), F.greatest("u", "v").alias("ev"),
+        F.lit(1).alias("sgn"), F.lit(0.0).alias("shift"),
+    )
+    whole = rest = materialise(_one_per_pair(start), "forest-edges")
+    left, chosen = rest.count(), []
+    while left > finish_edges:
+        choice = materialise(best_choice(rest), "forest-choice")
+        chosen.append(choice.select((-F.col("k1")).alias("u"), (-F.col("k2")).alias("v")))
+        rest = materialise(_rewrite(rest, flatten(materialise(hook(choice), "forest-hook"))), "forest-edges")
+        left = rest.count()
+    if left or not chosen:
+        chosen.append(rest.withColumn("h", F.xxhash64("eu", "ev")).groupBy().applyInPandas(_finish_links, "u long, v long"))
+    links = chosen[0]
+    for more in chosen[1:]:
+        links = links.unionByName(more)
+    return links.distinct().join(whole.select("u", "v", "w"), ["u", "v"]).select("u", "v", "w")
+
+
+def connected_components(edges: DataFrame, finish_edges: int = 50_000) -> DataFrame:
     """edges(u, v) -> (node, root) with the smallest node as root."""
     plain = edges.select("u", "v", F.lit(1.0).alias("w"), F.lit(1).alias("sgn"), F.lit(0.0).alias("shift"))
     return spanning_forest(plain, finish_edges).select("node", "root")
@@ -177,7 +220,7 @@ def oriented_from(facing: DataFrame, node: int) -> DataFrame:
     return facing.join(start, "root").withColumn("dir", (F.col("dir") * F.col("_turn")).cast("int")).drop("_turn")
 
 
-def spanning_orientation(links: DataFrame, min_strength: float, finish_edges: int = 1_000) -> DataFrame:
+def spanning_orientation(links: DataFrame, min_strength: float, finish_edges: int = 50_000) -> DataFrame:
     """links(u, v, strength, sgn) -> (node, root, dir) along the strongest tree.
 
     Links whose votes cancel say nothing about direction and are left out.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import geometry as G
+from weftline.report import Report, watched
 
 
 def with_ids(paf: DataFrame, delimiter: str = "_") -> DataFrame:
@@ -45,9 +46,18 @@ def drop_reads(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
     )
 
 
-def usable(paf: DataFrame, hanging_out: int, delimiter: str = "_", excluded: DataFrame | None = None) -> DataFrame:
+def filter_counts(hanging_out: int) -> dict:
+    """What the filters of `usable` keep and drop, as aggregates over normalised overlaps."""
+    own = F.col("a") == F.col("b")
+    dangling = ~own & (G.dangling_length() >= hanging_out)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return {"records": F.count(F.lit(1)), "self": count(own), "dangling": count(dangling), "usable": count(~own & ~dangling)}
+
+
+def usable(paf: DataFrame, hanging_out: int, delimiter: str = "_", excluded: DataFrame | None = None, report: Report | None = None) -> DataFrame:
     """The overlaps that enter the graph."""
-    rows = drop_dangling(drop_self(normalise(paf, delimiter)), hanging_out)
+    every = watched(report, normalise(paf, delimiter), **filter_counts(hanging_out))
+    rows = drop_dangling(drop_self(every), hanging_out)
     return rows if excluded is None else drop_reads(rows, excluded)
 
 

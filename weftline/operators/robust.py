@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.config import ScaleBounds
 from weftline.operators.elimination import SliceSolver
 from weftline.operators.forest import spanning_forest
+from weftline.report import Report, watched
 from weftline.session import materialise
 
 _STILL = 10.0  # fixed value: estimates moving less than this have settled
@@ -46,19 +47,19 @@ class _System:
         self.places = tree
         a = tree.select(F.col("node").alias("i"), F.col("root").alias("part"), F.col("shift").alias("xi"))
         b = tree.select(F.col("node").alias("j"), F.col("shift").alias("xj"))
-        self.eq = materialise(
-            eq.join(a, "i").join(b, "j").withColumn("rest", F.col("y") - (F.col("xj") - F.col("xi"))).drop("xi", "xj"), "fit-equations"
+        self.solver = SliceSolver(
+            tree.select("node", F.col("root").alias("part"), F.col("shift").alias("pos")), bounds.slice_nodes, bounds.finish_rows
         )
+        rest = eq.join(a, "i").join(b, "j").withColumn("rest", F.col("y") - (F.col("xj") - F.col("xi"))).drop("xi", "xj")
+        # equations learn their slice once and carry it; only weights change between rounds
+        self.eq = materialise(self.solver.slices(rest), "fit-equations")
         self.nodes = materialise(
             self.eq.select("component", "part", F.explode(F.array("i", "j")).alias("node")).distinct(), "fit-nodes"
         )
-        self.solver = SliceSolver(
-            tree.select("node", F.col("root").alias("part"), F.col("shift").alias("pos")), bounds.slice_nodes
-        )
 
     def solve(self, weighted: DataFrame) -> DataFrame:
         """Corrections to the tree coordinates."""
-        return self.solver.solve(weighted.select("i", "j", F.col("rest").alias("y"), "w"))
+        return self.solver.solve(weighted.select("slice", "i", "j", F.col("rest").alias("y"), "w"))
 
     def residuals(self, rows: DataFrame, x: DataFrame) -> DataFrame:
         a = x.select(F.col("node").alias("i"), F.col("x").alias("xi"))
@@ -76,13 +77,20 @@ class _System:
         )
 
 
-def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFrame:
+def _spread_of(name: str, thr1: float, thr2: float) -> dict:
+    """What a report tells of residuals; percentiles are exact up to ten thousand of them."""
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    shares = {f"{name}_residual_p{int(100 * s)}": F.percentile_approx("r", s, 10_000) for s in (0.5, 0.9, 0.99)}
+    return {f"{name}_equations": F.count(F.lit(1)), f"{name}_reweighted": count(F.col("r") > thr1), f"{name}_dropped": count(F.col("r") > thr2), f"{name}_residual_max": F.max("r"), **shares}
+
+
+def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds, report: Report | None, name: str) -> DataFrame:
     fit = _System(eq, bounds, _tree(eq, bounds))
     share = _GATES[gate]
     over = exceeds(F.col("r"), share, thr2)
     base = F.col("scale") * F.col("scale")
     x = fit.solve(fit.eq.withColumn("w", base))
-    rows = materialise(fit.residuals(fit.eq, x), "residuals")
+    rows = materialise(watched(report, fit.residuals(fit.eq, x), **_spread_of(name, thr1, thr2)), "residuals")
     finished, done = [], 0
     state = rows.groupBy("component").agg(over.alias("over"))
     if gate == "p99":
@@ -93,12 +101,12 @@ def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFr
         if done >= rounds or not state.filter("over").limit(1).count():
             finished.append(rows.join(state.filter("over"), "component", "left_semi"))
             break
-        rows = materialise(rows.join(state.filter("over"), "component", "left_semi"), "active")
+        rows = rows.join(state.filter("over"), "component", "left_semi")
         weight = F.when(F.col("r") <= thr1, F.lit(1.0)).otherwise(F.lit(thr1) / F.col("r"))
         # components that have finished keep their old equations in the system but are not read again
-        idle = fit.eq.join(state.filter("over"), "component", "left_anti").select("i", "j", "rest", base.alias("w"))
-        moved = fit.solve(rows.withColumn("w", weight * base).select("i", "j", "rest", "w").unionByName(idle))
-        fresh = materialise(fit.residuals(rows, moved), "residuals")
+        idle = fit.eq.join(state.filter("over"), "component", "left_anti").select("slice", "i", "j", "rest", base.alias("w"))
+        moved = fit.solve(rows.withColumn("w", weight * base).select("slice", "i", "j", "rest", "w").unionByName(idle))
+        fresh = materialise(watched(report, fit.residuals(rows, moved), **_spread_of(name, thr1, thr2)), "residuals")
         judged = rows if gate == "p95" else fresh
         state = materialise(
             judged.groupBy("component").agg(over.alias("above")).join(fit.settled(x, moved), "component")
@@ -106,14 +114,18 @@ def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFr
             "fit-state",
         )
         rows, x, done = fresh, moved, done + 1
+    if report is not None:
+        report.note(**{f"{name}_rounds": done})
     kept = finished[0]
     for more in finished[1:]:
         kept = kept.unionByName(more)
-    kept = materialise(kept.filter(F.col("r") <= thr2).select("component", "i", "j", "y", "rest", "scale", "line_no"), "kept")
-    tree = _tree(kept, bounds)
-    same = [t.agg(F.count("*"), F.countDistinct("root")).first() for t in (tree, fit.places)]
-    # with the parts unchanged the slices still serve; otherwise they are drawn anew
-    refit = fit if same[0] == same[1] else _System(kept.drop("rest"), bounds, tree)
+    kept = materialise(kept.filter(F.col("r") <= thr2).select("component", "i", "j", "y", "rest", "scale", "line_no", "slice"), "kept")
+    refit = fit
+    if kept.count() < fit.eq.count():
+        tree = _tree(kept, bounds)
+        same = [t.agg(F.count("*"), F.countDistinct("root")).first() for t in (tree, fit.places)]
+        # with the parts unchanged the slices still serve; otherwise they are drawn anew
+        refit = fit if same[0] == same[1] else _System(kept.drop("rest", "slice"), bounds, tree)
     source = kept if refit is fit else refit.eq
     dx = refit.solve(source.withColumn("w", F.lit(1.0)))
     return refit.places.join(dx, "node").join(refit.nodes.select("component", "node"), "node").select(
@@ -121,16 +133,18 @@ def _fit(eq: DataFrame, thr1, thr2, rounds, gate, bounds: ScaleBounds) -> DataFr
     )
 
 
-def robust_fit(eq: DataFrame, thr1: float, thr2: float, rounds: int, gate: str = "p99", bounds: ScaleBounds = ScaleBounds()) -> DataFrame:
+def robust_fit(eq: DataFrame, thr1: float, thr2: float, rounds: int, gate: str = "p99", bounds: ScaleBounds = ScaleBounds(),
+               report: Report | None = None, name: str = "fit") -> DataFrame:
     """equations(component, i, j, y, scale, line_no) -> (component, layout, node, x).
 
     `layout` is the smallest node of each part that stays connected once equations with
     residuals above `thr2` are gone; it sits at x = 0. Nodes left without an equation
-    do not appear. Scales other than 1 are divided by their component mean.
+    do not appear. Scales other than 1 are divided by their component mean. A report learns
+    rounds, residuals of the last round and how many nodes were placed, under `name`.
     """
     means = eq.groupBy("component").agg(F.avg("scale").alias("mean_scale"))
     rows = eq.join(means, "component").withColumn("scale", F.col("scale") / F.col("mean_scale"))
     rows = materialise(rows.select("component", "i", "j", "y", "scale", "line_no"), "fit-rows")
     if rows.isEmpty():
         return rows.select("component", F.col("i").alias("layout"), F.col("i").alias("node"), F.col("i").alias("x"))
-    return materialise(_fit(rows, thr1, thr2, rounds, gate, bounds), "positions")
+    return materialise(watched(report, _fit(rows, thr1, thr2, rounds, gate, bounds, report, name), **{f"{name}_placed": F.count(F.lit(1))}), "positions")

@@ -10,9 +10,10 @@ from weftline.config import AssemblyConfig
 from weftline.functions import geometry as G
 from weftline.functions import sequences as seqs
 from weftline.operators import (
-    blocks, chains, chimera, consensus, contigs, equations, forest, layout, orient, overlaps, quantiles, robust, stats, stitch,
+    blocks, chains, chimera, consensus, contigs, equations, forest, layout, orient, overlaps, quantiles, robust, stats, stitch, tree_walk,
 )
 from weftline.plans import assemble as plan
+from weftline.report import Report
 from weftline.session import materialise
 from weftline.sources import text
 
@@ -240,6 +241,42 @@ def _flipped_votes(used):
     return used.withColumn("b_orient", F.when(wrong, 1 - F.col("b_orient")).otherwise(F.col("b_orient")))
 
 
+def suspicious_reads(spark, sf):
+    """Reads of which one half is turned, found by their divided links."""
+    used = overlaps.usable(fx.paf(spark, sf), HANGING_OUT)
+    turned = lambda c: (F.col(c) % 40 == 20) & (F.col("b") > F.col("a"))
+    wrong = turned("a") != ((F.col("b") % 40 == 20) & (F.col("a") > F.col("b")))
+    edges = materialise(overlaps.orientation_edges(used.withColumn("b_orient", F.when(wrong, 1 - F.col("b_orient")).otherwise(F.col("b_orient")))), "edges")
+    return _long(orient.set_aside(edges, 0.25)[1].select(F.col("node").alias("read_id")))
+
+
+def _parent_links(spark, sf):
+    """The heaviest link of each read to an earlier one, as a tree of reads."""
+    used = _clean(spark, sf).select("a", "b", F.col("w").cast("double").alias("w"))
+    return used.groupBy(F.col("b").alias("v")).agg(F.max(F.struct("w", (-F.col("a")).alias("k"))).alias("c")).select((-F.col("c.k")).alias("u"), "v", F.col("c.w").alias("w"))
+
+
+def _walk(spark, sf):
+    links = materialise(_parent_links(spark, sf), "links")
+    roots = links.select(F.col("u").alias("node")).distinct().join(links.select(F.col("v").alias("node")), "node", "left_anti")
+    return tree_walk.walk_order(links, roots)
+
+
+def tree_walk_order(spark, sf):
+    return _walk(spark, sf).select(F.col("node").alias("read_id"), "visit")
+
+
+def equations_walk_order(spark, sf):
+    """Equations of overlaps whose query stands before the target on the walk."""
+    facing = fx.true_orientation(spark, sf).join(_walk(spark, sf).withColumnRenamed("node", "read_id"), "read_id")
+    eq = equations.equations(_mixed(spark, sf), facing, "visit_order")
+    return eq.select("i", "j", F.col("y").cast("long").alias("y"))
+
+
+def _mixed(spark, sf):
+    return overlaps.usable(fx.paf_mixed(fx.paf(spark, sf)), HANGING_OUT)
+
+
 # Regression and layout
 
 def _positions(spark, sf, paf, **settings):
@@ -278,10 +315,12 @@ def robust_positions_weighted(spark, sf):
 
 
 def residual_percentiles(spark, sf):
-    """Percentiles and mean Huber weight of the closing error of the false equations."""
+    """Percentiles and mean Huber weight of what the fit leaves of the false equations."""
     eq = _false_equations(spark, sf)
-    gap = (F.col("i") * 31 + F.col("j") * 17) % 997
-    rows = eq.select("component", (F.abs(gap) * 2).cast("double").alias("r"))
+    fit = robust.robust_fit(eq, 200.0, 800.0, 50)
+    side = lambda c, x: fit.select(F.col("node").alias(c), F.col("x").alias(x))
+    left = F.abs(F.col("y") - (F.col("xj") - F.col("xi")))
+    rows = materialise(eq.join(side("i", "xi"), "i").join(side("j", "xj"), "j").select("component", left.alias("r")), "residuals-left")
     spread = quantiles.quantiles(rows, "component", "r", SHARES)
     weight = rows.groupBy("component").agg(F.round(F.avg(G.huber_weight("r", 200.0)) * 1000).cast("long").alias("mean_weight"))
     return spread.join(weight, "component").select(
@@ -431,6 +470,12 @@ def block_consensus(spark, sf):
     return rows.select("block", F.length("cns").cast("long").alias("bases"), F.md5("cns").alias("digest"))
 
 
+def block_consensus_noisy(spark, sf):
+    """Blocks whose slices are wrong at many sites, a third of them at each."""
+    rows = consensus.block_consensus(fx.noisy_slices(spark, sf))
+    return rows.select("block", F.length("cns").cast("long").alias("bases"), F.md5("cns").alias("digest"))
+
+
 def block_joins(spark, sf):
     made = materialise(consensus.block_consensus(_slices(spark, sf)), "consensus")
     return _long(stitch.block_joins(made, BLOCK_WIDTH, BLOCK_OVERLAP).select("block", "tail", "score", "left_end", "right_end"))
@@ -464,6 +509,16 @@ def assembly_stats(spark, sf):
     return _long(stats.assembly_stats(rows))
 
 
+def run_report(spark, sf):
+    """What a whole run on noisy overlaps tells of itself."""
+    report, config = Report(), AssemblyConfig(block_width=BLOCK_WIDTH)
+    used = fx.with_self_rows(_noisy(spark, sf), fx.sim_reads(spark, sf))
+    graph = plan.load_graph(used, config, report)
+    materialise(plan.read_positions(graph, config, report), "layout")
+    materialise(plan.consensus_pieces(fx.whole_layout(spark, sf), fx.sim_sequences(spark, sf), config, report), "pieces")
+    return report.rows(spark).withColumn("value", F.rint("value").cast("long"))
+
+
 def assemble(spark, sf):
     """Everything: overlaps and reads in, contigs out, reported strand-independently."""
     config = AssemblyConfig(block_width=BLOCK_WIDTH)
@@ -480,11 +535,11 @@ QUERIES = {
         chimera_filtered_overlaps, low_quality_counts, blasr_chimera, mhap_chimera, read_lengths, overlaps_per_pair,
         edge_weight_last, edge_links_first, orientation_votes, vote_probability, read_offset, start_offset,
         equations_plain, equations_weighted, equations_indel, equations_visit_order, components, components_binned, spanning_orientation, spanning_orientation_rooted, greedy_orientation,
-        orientation_conflicts, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
+        orientation_conflicts, suspicious_reads, tree_walk_order, equations_walk_order, layout_positions, layout_positions_mixed, layout_positions_noisy, robust_positions,
         robust_positions_weighted, residual_percentiles, layout_split, layout_split_noisy, layout_index, layout_spans,
         contig_end_overlaps, contig_votes, contig_orientation, contig_offset_median, contig_positions, contig_merge,
         contig_offsets_plain, contig_offsets_plain_median, contig_round, layout_contigs, layout_contigs_noisy,
         component_assembly, contig_iteration, reverse_complements, wrapped_sequences, gc_content, block_coverage,
-        block_slices, block_consensus, block_joins, stitched_pieces, contig_fasta, layout_export, assembly_stats, assemble,
+        block_slices, block_consensus, block_consensus_noisy, block_joins, stitched_pieces, contig_fasta, layout_export, assembly_stats, run_report, assemble,
     )
 }

@@ -216,3 +216,56 @@ def sequence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.regexp_replace(F.lower("seq"), "(.{80})(?=.)", "$1\n")
     name = F.concat(F.lit(">read_"), F.col("read_id").cast("string"), F.lit("_x simulated read"))
     return sim_sequences(spark, sf_dir).select(F.concat(name, F.lit("\n"), body, F.lit("\n")).alias("value"))
+
+
+# Noisy slices, built of whole tiles so that what they should give stays a closed form
+
+TILES_APART, TILES_WIDE = 75, 94  # of a block
+CALM = 200                        # tiles without errors at either end of the genome
+
+
+def _repeated(copies):
+    return lambda j: F.concat(F.repeat(F.lit("AC"), copies), F.substring(_tile(j), 1, 16))
+
+
+def _tile(j):
+    return F.translate(F.md5(j.cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def noisy_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig_id, block, rank, read_id, piece): slices of which one in three is wrong at a site.
+
+    Every fifth tile is a site. There a third of the reads have another base, lack one or
+    have one more; every tenth tile opens with a tandem repeat of eight copies, of which
+    they have seven or nine.
+    """
+    end = F.col("last_tile")
+    reads = spread(sim_reads(spark, sf_dir), "read_id").withColumn("t0", F.ceil(F.col("g_start") / TILE)).withColumn("t1", F.floor(F.col("g_end") / TILE) - 1)
+    last = sim_reads(spark, sf_dir).agg((F.floor(F.max("g_end") / TILE) - 1).alias("last_tile"))
+    first_block, last_block = F.greatest(F.ceil((F.col("t0") - TILES_WIDE + 1) / TILES_APART), F.lit(0)), F.floor(F.col("t1") / TILES_APART)
+    cut = (
+        reads.crossJoin(F.broadcast(last))  # one row
+        .withColumn("block", F.explode(F.sequence(first_block, last_block)))
+        .withColumn("lo", F.greatest("t0", F.col("block") * TILES_APART))
+        .withColumn("hi", F.least("t1", F.col("block") * TILES_APART + TILES_WIDE - 1))
+    )
+    r = F.col("read_id")
+
+    def shown(j):
+        tile, mark = _tile(j), (j % 5).cast("int")
+        wrong = (j >= CALM) & (j <= end - CALM) & (mark == 2) & ((j + r) % 3 == 0)
+        turn = F.floor(r / 3) % 3
+        other = F.when(turn == 0, F.translate(tile, "ACGT", "CGTA")).when(turn == 1, F.translate(tile, "ACGT", "GTAC")).otherwise(F.translate(tile, "ACGT", "TACG"))
+        kind = F.floor(j / 5) % 3
+        erring = (
+            F.when(kind == 0, F.concat(F.substring(tile, 1, 15), F.substring(other, 16, 1), F.substring(tile, 17, 16)))
+            .when(kind == 1, F.concat(F.substring(tile, 1, 15), F.substring(tile, 17, 16)))
+            .otherwise(F.concat(F.substring(tile, 1, 16), F.substring(other, 16, 1), F.substring(tile, 17, 16)))
+        )
+        repeat = F.when(wrong, F.when(r % 2 == 0, _repeated(7)(j)).otherwise(_repeated(9)(j))).otherwise(_repeated(8)(j))
+        return F.when(j % 10 == 7, repeat).when(wrong, erring).otherwise(tile)
+
+    piece = F.concat_ws("", F.transform(F.sequence("lo", "hi"), shown))
+    return cut.filter("hi >= lo").select(
+        F.lit(0).cast("long").alias("contig_id"), "block", F.col("g_start").alias("rank"), "read_id", piece.alias("piece")
+    )

@@ -119,6 +119,10 @@ CTES = {
       FROM sim, (SELECT unnest(range(0, (SELECT hi // 2400 + 1 FROM box))) AS k)
       WHERE g_start < 2400 * k + 3000 AND g_end > 2400 * k AND least(g_end, 2400 * k + 3000) - greatest(g_start, 2400 * k) > 1""",
     "cns": "SELECT block, 2400 * block AS lo, max(hi) AS hi FROM blk GROUP BY block",
+    "parent_link": "SELECT a AS u, b AS v, w FROM uc QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) = 1",
+    "walked": """SELECT DISTINCT u AS node, u AS root, CAST([] AS BIGINT[]) AS path FROM parent_link WHERE u NOT IN (SELECT v FROM parent_link) UNION ALL
+      SELECT l.v, root, list_append(path, l.w * 10000000000 - l.v) FROM walked JOIN parent_link l ON l.u = walked.node""",
+    "walk": "SELECT node AS read_id, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS visit FROM walked",
     "steps": """SELECT o.line_no, o.a, o.b, o.w, (CASE WHEN s.strand = 1 THEN s.g_start ELSE s.g_end END) AS xa,
       (CASE WHEN t.strand = 1 THEN t.g_start ELSE t.g_end END) AS xb, s.g_start AS sa, t.g_start AS sb
       FROM un o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b""",
@@ -140,7 +144,7 @@ def _facing(source: str) -> str:
 def _quantile(p: float) -> str:
     return f"""SELECT CAST({round(p * 100)} AS BIGINT) AS percent, CAST(round(quantile_cont(r, {p}) * 1000) AS BIGINT) AS milli,
       CAST(round(avg(CASE WHEN r <= 200 THEN 1.0::DOUBLE ELSE 200 / r END) * 1000) AS BIGINT) AS mean_weight
-      FROM (SELECT CAST(2 * ((31 * a + 17 * b) % 997) AS DOUBLE) AS r FROM uc)"""
+      FROM (SELECT CASE WHEN (17 * a + 5 * b) % 97 = 0 THEN 1500.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM uc)"""
 
 
 _VOTES = """count(*) AS n, CAST((sum(abs(sw)) + sum(sw)) // 2 AS BIGINT) AS pos, CAST((sum(abs(sw)) - sum(sw)) // 2 AS BIGINT) AS neg,
@@ -204,6 +208,13 @@ BODIES = {
       WHERE z.read_id = (SELECT min(a) FROM un)""",
     "greedy_orientation": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
     "orientation_conflicts": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
+    # one half turned: the lighter side's links stand against the read
+    "suspicious_reads": """SELECT read_id FROM (SELECT read_id, sum(CASE WHEN b = read_id THEN w ELSE 0 END) AS l, sum(CASE WHEN a = read_id THEN w ELSE 0 END) AS r
+      FROM sim JOIN uc ON read_id IN (a, b) WHERE read_id % 40 = 20 GROUP BY read_id) WHERE least(l, r) > 0 AND 4 * least(l, r) >= l + r""",
+    "tree_walk_order": "SELECT read_id, visit FROM walk",
+    "equations_walk_order": """SELECT o.a AS i, o.b AS j, (CASE WHEN t.strand = 1 THEN t.g_start ELSE t.g_end END)
+      - (CASE WHEN s.strand = 1 THEN s.g_start ELSE s.g_end END) AS y FROM um o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b
+      JOIN walk p ON p.read_id = o.a JOIN walk q ON q.read_id = o.b WHERE p.visit < q.visit""",
     "layout_positions": _facing("uc"),
     "layout_positions_mixed": _facing("um"),
     "layout_positions_noisy": _facing("un"),
@@ -237,6 +248,9 @@ BODIES = {
     "block_coverage": "SELECT block, count(*) AS n_slices, CAST(sum(hi - lo) AS BIGINT) AS bases FROM blk GROUP BY block",
     "block_slices": f"""SELECT block, read_id, lo - g_start AS "offset", hi - lo AS bases, md5({_genome('lo', 'hi')}) AS digest FROM blk""",
     "block_consensus": f"SELECT block, hi - lo AS bases, md5({_genome('lo', 'hi')}) AS digest FROM cns",
+    "block_consensus_noisy": f"""SELECT block, length(cns) AS bases, md5(cns) AS digest FROM (SELECT block, array_to_string(list_transform(
+      range(75 * block, least(75 * block + 94, tiles)), lambda j: CASE WHEN j % 10 = 7 THEN repeat('AC', 8) || substr({TRANSLATED}, 1, 16) ELSE {TRANSLATED} END), '') AS cns
+      FROM (SELECT max(g_end) // 32 AS tiles FROM sim) t, LATERAL (SELECT unnest(range(0, (tiles - 1) // 75 + 1)) AS block) b)""",
     "block_joins": """SELECT block, CAST(600 AS BIGINT) AS tail, least(600, hi - lo) AS score, CAST(600 AS BIGINT) AS left_end, least(600, hi - lo) AS right_end
       FROM cns WHERE block > 0""",
     "stitched_pieces": f"""SELECT CAST(1 AS BIGINT) AS contig_no, block, lo AS "offset", hi - lo AS bases, md5({_genome('lo', 'hi')}) AS digest FROM (
@@ -253,6 +267,12 @@ BODIES = {
       UNION ALL SELECT contig_id, k, rank, md5('S' || chr(9) || 'read.' || read_id || chr(9) || CASE WHEN dir = 1 THEN '+' ELSE '-' END || chr(9) || o || chr(9) || m || chr(9) ||
         CASE WHEN contig_id % 2 = 1 THEN {_complement(_genome('g_end - o - m', 'g_end - o'))} ELSE {_genome('g_start + o', 'g_start + o + m')} END)
         FROM cut WHERE start < {_EXPORT} * k + 2048 AND start + len > {_EXPORT} * k AND m > 1""",
+    "run_report": """SELECT unnest(['records', 'self', 'dangling', 'usable', 'oriented', 'oriented_reads', 'inconsistent', 'reads_equations', 'reads_placed']) AS metric,
+      unnest([records, own, records - own - used, used, used, reads, 0, used, reads]) AS value FROM (SELECT count(*) AS records, count(*) FILTER (q_name = t_name) AS own FROM selfy),
+        (SELECT count(*) AS used FROM un), (SELECT count(*) AS reads FROM (SELECT a FROM un UNION SELECT b FROM un)) UNION ALL
+      SELECT unnest(['reads_rounds', 'reads_reweighted', 'reads_dropped', 'reads_residual_max', 'reads_residual_p50', 'reads_residual_p90', 'reads_residual_p99', 'unaligned_slices']),
+        unnest([0, 0, 0, 0, 0, 0, 0, 0]) UNION ALL
+      SELECT unnest(['blocks', 'consensus_bases']), unnest([count(*), CAST(sum(hi - lo) AS BIGINT)]) FROM cns""",
     "assembly_stats": """SELECT count(*) AS n_contigs, CAST(max(total) AS BIGINT) AS total_length, max(length) AS largest,
       max(CASE WHEN upto * 2 >= total THEN length END) AS n50, min(CASE WHEN upto * 2 >= total THEN place END) AS l50,
       max(CASE WHEN upto * 10 >= total * 9 THEN length END) AS n90, min(CASE WHEN upto * 10 >= total * 9 THEN place END) AS l90,
@@ -281,5 +301,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in BODIES.items():
         shared = ", ".join(f"{n} AS ({CTES[n]})" for n in _needed(body))
-        out[name] = f"WITH {shared} SELECT * FROM ({body})"
+        out[name] = f"WITH RECURSIVE {shared} SELECT * FROM ({body})"
     return out
