@@ -242,12 +242,16 @@ def _flipped_votes(used):
 
 
 def suspicious_reads(spark, sf):
-    """Reads of which one half is turned, found by their divided links."""
-    used = overlaps.usable(fx.paf(spark, sf), HANGING_OUT)
-    turned = lambda c: (F.col(c) % 40 == 20) & (F.col("b") > F.col("a"))
-    wrong = turned("a") != ((F.col("b") % 40 == 20) & (F.col("a") > F.col("b")))
-    edges = materialise(overlaps.orientation_edges(used.withColumn("b_orient", F.when(wrong, 1 - F.col("b_orient")).otherwise(F.col("b_orient")))), "edges")
-    return _long(orient.set_aside(edges, 0.25)[1].select(F.col("node").alias("read_id")))
+    """Reads of which one half is turned, found by their divided links.
+
+    Every read has links to the twelve before and after it, so that no other set of turned
+    reads explains the contradictions as well.
+    """
+    reads = fx.sim_reads(spark, sf).select(F.col("read_id").alias("u"))
+    links = reads.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", F.col("u") + F.col("d")).join(reads.withColumnRenamed("u", "v"), "v")
+    weight = (20 - F.col("d")) * F.when(F.col("u") % 40 == 20, -1).otherwise(1)
+    edges = materialise(links.select("u", "v", weight.cast("long").alias("sw")), "edges")
+    return _long(orient.set_aside(edges, 0.25)[1].select(F.col("node").alias("read_id"), "against", "weight"))
 
 
 def _parent_links(spark, sf):

@@ -209,8 +209,10 @@ BODIES = {
     "greedy_orientation": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
     "orientation_conflicts": f"""SELECT z.read_id AS component, s.read_id, s.strand * z.strand AS dir FROM sim s, sim z WHERE z.read_id = {_seed('un')}""",
     # one half turned: the lighter side's links stand against the read
-    "suspicious_reads": """SELECT read_id FROM (SELECT read_id, sum(CASE WHEN b = read_id THEN w ELSE 0 END) AS l, sum(CASE WHEN a = read_id THEN w ELSE 0 END) AS r
-      FROM sim JOIN uc ON read_id IN (a, b) WHERE read_id % 40 = 20 GROUP BY read_id) WHERE least(l, r) > 0 AND 4 * least(l, r) >= l + r""",
+    "suspicious_reads": """SELECT read_id, CAST(least(l, r) AS BIGINT) AS against, CAST(l + r AS BIGINT) AS weight FROM (
+      SELECT s.read_id, sum(CASE WHEN t.read_id < s.read_id THEN 20 - d ELSE 0 END) AS l, sum(CASE WHEN t.read_id > s.read_id THEN 20 - d ELSE 0 END) AS r
+      FROM sim s JOIN sim t ON t.read_id <> s.read_id AND abs(t.read_id - s.read_id) <= 12, LATERAL (SELECT abs(t.read_id - s.read_id) AS d)
+      WHERE s.read_id % 40 = 20 GROUP BY s.read_id) WHERE 4 * least(l, r) >= l + r""",
     "tree_walk_order": "SELECT read_id, visit FROM walk",
     "equations_walk_order": """SELECT o.a AS i, o.b AS j, (CASE WHEN t.strand = 1 THEN t.g_start ELSE t.g_end END)
       - (CASE WHEN s.strand = 1 THEN s.g_start ELSE s.g_end END) AS y FROM um o JOIN sim s ON s.read_id = o.a JOIN sim t ON t.read_id = o.b
@@ -271,7 +273,7 @@ BODIES = {
       unnest([records, own, records - own - used, used, used, reads, 0, used, reads]) AS value FROM (SELECT count(*) AS records, count(*) FILTER (q_name = t_name) AS own FROM selfy),
         (SELECT count(*) AS used FROM un), (SELECT count(*) AS reads FROM (SELECT a FROM un UNION SELECT b FROM un)) UNION ALL
       SELECT unnest(['reads_rounds', 'reads_reweighted', 'reads_dropped', 'reads_residual_max', 'reads_residual_p50', 'reads_residual_p90', 'reads_residual_p99', 'unaligned_slices']),
-        unnest([0, 0, 0, 0, 0, 0, 0, 0]) UNION ALL
+        unnest([1, 0, 0, 0, 0, 0, 0, 0]) UNION ALL  -- the read level runs one round whatever the residuals
       SELECT unnest(['blocks', 'consensus_bases']), unnest([count(*), CAST(sum(hi - lo) AS BIGINT)]) FROM cns""",
     "assembly_stats": """SELECT count(*) AS n_contigs, CAST(max(total) AS BIGINT) AS total_length, max(length) AS largest,
       max(CASE WHEN upto * 2 >= total THEN length END) AS n50, min(CASE WHEN upto * 2 >= total THEN place END) AS l50,
