@@ -21,8 +21,9 @@ share leaves room for the overlap that their sizes ask for. Sets that share a si
 comparison per set, which turns groups of near copies into stars. Between stars only the
 pivots are compared; since Jaccard distance is a metric, distance(pivots) minus both radii
 bounds every pair between two stars. Only pairs of stars that stay open are compared
-member by member. Thus no group is ever expanded into its pairs, and no link between
-components is lost.
+member by member. Both of those joins pair what shares a signature, so their rows can grow
+with the square of a group of sets that are alike but not linked; no link between components
+is lost.
 """
 
 from __future__ import annotations
