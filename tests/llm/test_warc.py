@@ -79,3 +79,15 @@ def test_missing_files_and_records_are_errors(spark):
     lost = spark.createDataFrame([*rows, rows[0].asDict() | {"file": "lost.warc.gz"}], manifest.schema)
     with pytest.raises(Exception, match="not in the folder"):
         warc.read(spark, folder, lost).count()
+
+
+def test_repeated_rows_over_many_shards(spark, monkeypatch):
+    """Records of one key may fill several tasks; each has its text there."""
+    monkeypatch.setattr(warc, "MEMO", 3)
+    rows = [(5, "small", "s" * 900)] * 300 + [(6, "large", "l" * 5000)] * 300 + [(7, "other", "o" * 5000), (None, None, "n" * 10), (None, "x", None)] * 20
+    frame = spark.createDataFrame([(*r, "f") for r in rows], SCHEMA).repartition(6)
+    got = warc.round_trip(frame, shard_bytes=20_000, file_bytes=8_000).collect()
+    count = lambda page, kind: sum(r.page_id == page and r.record_type == kind for r in got)
+    assert len(got) == len(rows) and all(r.html is not None for r in got if r.record_type == "response")
+    assert [(count(p, "response"), count(p, "revisit")) for p in (5, 6, 7, None)] == [(300, 0), (1, 299), (1, 19), (40, 0)]
+    assert {(r.page_id, r.html) for r in got if r.record_type == "response"} == {(p, h or "") for p, _, h in rows}

@@ -15,11 +15,13 @@ import hashlib
 import posixpath
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import common
 from weftline.llm.sharding import prefix_sums
 from weftline.session import checkpoint_folder, materialise
 
@@ -27,6 +29,7 @@ REVISIT_FROM = 1000      # smaller payloads are written in full each time
 SHARD_BYTES = 16 << 20   # payload bytes of a shard
 FILE_BYTES = 4 << 20     # compressed bytes after which the next file begins
 LEVEL = 6
+MEMO = 200_000           # texts that a task remembers as sent; forgetting one sends it again
 DATE = "2020-01-01T00:00:00Z"  # records carry one fixed date, so that archives repeat byte for byte
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -76,11 +79,40 @@ class _File:
 _MANIFEST = "file string, shard long, part int, records long, bytes long, sha1 string"
 
 
-def _packing(batches):
-    """html as compressed bytes, since texts are shuffled twice on their way to a shard."""
-    for batch in batches:
-        packed = [zlib.compress(text.encode(), LEVEL) for text in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_p", "_u", "_d")], pa.array(packed, pa.binary())], names=["_p", "_u", "_d", "packed"])
+def _order(page_id, url, digest) -> tuple:
+    """A record's key as Spark sorts it, nulls first."""
+    return page_id is not None, page_id or 0, url is not None, (url or "").encode(), digest
+
+
+def _packing(bounds: list):
+    """(_p, _u, _d, size, html) -> (task, _p, _u, _d, packed): compressed texts for the tasks that may need them.
+
+    `bounds` holds the first key of each writing task. A key's records may go on in later
+    tasks; of larger payloads only the first one is a response. Texts that a task has seen
+    with their key are not sent again.
+    """
+    tasks, firsts = [task for task, _ in bounds], [first for _, first in bounds]
+
+    def run(batches):
+        seen: set = set()
+        for batch in common.slices(batches, "html"):
+            out = []
+            if len(seen) > MEMO:
+                seen.clear()
+            for p, u, d, size, html in zip(*[batch.column(c).to_pylist() for c in ("_p", "_u", "_d", "size", "html")]):
+                key = _order(p, u, d)
+                mark = hashlib.sha1(repr(key).encode()).digest()
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                low, high = max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)
+                packed = zlib.compress(html.encode(), LEVEL)
+                out += [(task, p, u, d, packed) for task in tasks[low:high if size < REVISIT_FROM else min(high, low + 2)]]
+            columns = list(zip(*out)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["task", "_p", "_u", "_d", "packed"])
+
+    return run
 
 
 def _writing(folder: str, file_bytes: int, level: int):
@@ -89,15 +121,24 @@ def _writing(folder: str, file_bytes: int, level: int):
 
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        file, done = None, []
+        file, done, key, packed = None, [], None, None
         for batch in batches:
             for row in batch.to_pylist():
+                mine = row["page_id"], row["url"], row["payload_digest"]
+                if row["serial"] is None:  # a text stands before the records of its key
+                    key, packed = mine, row["packed"]
+                    continue
+                text = b""
+                if row["record_type"] == "response":
+                    if mine != key:
+                        raise ValueError(f"no text for page {row['page_id']}; the pages changed while they were written")
+                    text = zlib.decompress(packed)
                 if file and (file.shard != row["shard"] or file.bytes >= file_bytes):
                     part = file.part + 1 if file.shard == row["shard"] else 0
                     done.append(file.close())
                     file = _File(system, base, row["shard"], part)
                 file = file or _File(system, base, row["shard"], 0)
-                file.add(_member(_record(row, zlib.decompress(row["packed"]) if row["packed"] else b""), level))
+                file.add(_member(_record(row, text), level))
         if file:
             done.append(file.close())
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int64()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
@@ -141,21 +182,22 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     placed = materialise(
         ordered.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("rank").alias("serial"), F.expr(f"before div {shard_bytes}").alias("shard")), "warc-plan"
     )
+    spark = pages.sparkSession
     shards = (placed.agg(F.max("shard")).first()[0] or 0) + 1
-    # a response takes its text from a row with its key, url and digest (all such rows have
-    # the same text, so one is kept before the shuffle); revisits carry none
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = placed.withColumn("task", F.expr(f"shard * {tasks} div {shards}"))
+    first = placed.groupBy("task").agg(F.min(F.struct("page_id", "url", "payload_digest")).alias("k"))
+    bounds = sorted((r.task, _order(*r.k)) for r in first.collect())  # a row per task, so at most one per shuffle partition
+    # texts travel once: to the tasks in whose range of keys they fall, where they meet their records by sorting
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    texts = pages.select(F.col("page_id").cast("long").alias("_p"), F.col("url").cast("string").alias("_u"), F.sha1(F.encode(html, "UTF-8")).alias("_d"), html.alias("html"))
-    texts = texts.mapInArrow(_packing, "_p long, _u string, _d string, packed binary").groupBy("_p", "_u", "_d").agg(F.first("packed").alias("packed"))
-    full = placed.filter("record_type = 'response'")
-    on = full["page_id"].eqNullSafe(texts["_p"]) & full["url"].eqNullSafe(texts["_u"]) & (full["payload_digest"] == texts["_d"])
-    columns = ["shard", "serial", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    responses = full.join(texts, on).select(*columns, "packed")
-    revisits = placed.filter("record_type = 'revisit'").select(*columns, F.lit(None).cast("binary").alias("packed"))
-    tasks = min(shards, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    manifest = responses.unionByName(revisits).repartition(tasks, "shard").sortWithinPartitions("shard", "serial").mapInArrow(_writing(f"{folder}/data", file_bytes, level), _MANIFEST)
+    texts = pages.select(
+        F.col("page_id").cast("long").alias("_p"), F.col("url").cast("string").alias("_u"), F.sha1(F.encode(html, "UTF-8")).alias("_d"), F.octet_length(html).alias("size"), html.alias("html")
+    ).mapInArrow(_packing(bounds), "task long, _p long, _u string, _d string, packed binary")
+    texts = texts.select("task", F.col("_p").alias("page_id"), F.col("_u").alias("url"), F.col("_d").alias("payload_digest"), "packed")
+    mixed = placed.unionByName(texts, allowMissingColumns=True).repartition(tasks, "task").sortWithinPartitions("page_id", "url", "payload_digest", "serial")
+    manifest = mixed.mapInArrow(_writing(f"{folder}/data", file_bytes, level), _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
 def records(data: bytes):
