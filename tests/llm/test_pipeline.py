@@ -125,3 +125,42 @@ def test_shards(stages):
 
 def test_run_gives_the_last_stage(spark, sf, stages):
     assert rows_of(corpus_pipeline.run(spark, sf)) == rows_of(stages[-1][1])
+
+
+def folder_of(tmp_path, sf, docs):
+    import os
+
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_run_on_an_empty_table(spark, sf, stages, tmp_path):
+    folder = folder_of(tmp_path, sf, stages[0][0].limit(0))
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and out.columns == stages[-1][1].columns
+
+
+def test_run_with_nulls_repeats_and_clashing_columns(spark, sf, stages, tmp_path):
+    """Null and empty texts, null keys and repeated rows pass all stages; extra columns change nothing."""
+    from pyspark.sql import functions as F
+
+    docs = stages[0][0]
+    some = docs.orderBy("doc_id").limit(60)
+    blank = lambda column: some.limit(3).withColumn(column, F.lit(None).cast(some.schema[column].dataType))
+    more = [blank(c) for c in docs.columns] + [some.limit(3).withColumn("text", F.lit("")), some.limit(5), some.limit(5)]
+    odd = some
+    for part in more:
+        odd = odd.unionByName(part)
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    clashing = tmp_path / "clashing"
+    clashing.mkdir()
+    extra = {c: F.lit("x") for c in ("component_id", "n_shingles", "sid", "sig", "size", "shard", "slot", "law", "rid", "th", "label", "quality", "weight", "budget", "_key", "_th", "_id", "item_id")}
+    out = corpus_pipeline.run(spark, folder_of(plain, sf, odd.coalesce(1)))
+    rows = rows_of(out)
+    assert rows == rows_of(corpus_pipeline.run(spark, folder_of(clashing, sf, odd.withColumns(extra).coalesce(1))))
+    given = {(r.doc_id, zlib.crc32((r.text or "").encode())) for r in odd.collect()}
+    assert {(r.doc_id, r.text_crc32) for r in out.collect()} <= given and 0 < len(rows) < odd.count()
+    assert out.columns == stages[-1][1].columns
