@@ -15,7 +15,7 @@ def assembly_stats(lengths: DataFrame, reference_length: int | None = None) -> D
     """
     ranked = global_rank(lengths.withColumn("_minus", -F.col("length")), ["_minus", "contig_no"], "place").withColumn("all", F.lit(0))
     summed = running(ranked, ["all"], "place", {"upto": ("sum", "length", "up")})
-    goal = F.lit(reference_length or lengths.agg(F.sum("length")).first()[0])
+    goal = F.lit(reference_length or lengths.agg(F.sum("length")).first()[0]).cast("long")  # small totals would be 32-bit literals
     reach = lambda share: F.when(F.col("upto") * 100 >= goal * share, F.struct(F.col("place"), F.col("length")))
     at = lambda share: F.min(reach(share))
     return summed.agg(
