@@ -1,11 +1,85 @@
 """What larger tables need: sums beyond 32 bits, work spread over tasks, text made once."""
 
-from pyspark.sql import functions as F
+import random
+from hashlib import md5
 
-from weftline.operators import stats
+import pyarrow as pa
+
+from weftline.operators import consensus, poa, stats
+from workload import fixtures
 
 
 def test_stats_of_totals_near_32_bits(spark):
     rows = [(i, 20_000_000 + i) for i in range(8)]
     row = stats.assembly_stats(spark.createDataFrame(rows, "contig_no long, length long")).first()
     assert row.total_length == sum(n for _, n in rows) and (row.n50, row.l50) == (20_000_004, 4) and (row.n90, row.l90) == (20_000_000, 8)
+
+
+def _parts(spark, folder, keys):
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_reads_of_one_file_are_spread(spark, tmp_path):
+    sf = _parts(spark, tmp_path, range(200))
+    assert fixtures.sim_reads(spark, sf).rdd.getNumPartitions() == 3
+    assert fixtures.sim_reads(spark, sf).count() == 200
+
+
+def test_sequences_follow_the_genome(spark, tmp_path):
+    sf = _parts(spark, tmp_path, [1, 2, 2, 300, None])
+    tile = lambda j: md5(str(j).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGT" * 4))
+    want = {}
+    for r in fixtures.sim_reads(spark, sf).filter("read_id is not null").collect():
+        first = r.g_start // 32
+        bases = "".join(tile(j) for j in range(first, r.g_end // 32 + 1))[r.g_start - first * 32:r.g_end - first * 32]
+        want[r.read_id] = bases if r.strand == 1 else bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    got = fixtures.sim_sequences(spark, sf).collect()
+    assert sorted((r.read_id is None, r.read_id or 0, r.seq or "") for r in got) == sorted(
+        (k is None, k or 0, want.get(k, "")) for k in [1, 2, 2, 300, None]
+    )
+    lines = fixtures.sequence_lines(spark, sf)
+    assert lines.count() == 5 and lines.filter("value is null").count() == 1
+    assert all(max(map(len, r.value.split("\n"))) <= 80 for r in lines.filter("value is not null").collect())
+
+
+def _path_by_edges(graph):
+    """The heaviest path, edge by edge."""
+    rank, source, target, by = graph._edges()
+    n, weight = len(graph.base), graph.weight[by].tolist()
+    score, best, heaviest, onward, most = [0] * n, [-1] * n, [0] * n, [-1] * n, [0] * n
+    for u, v, w in zip(source.tolist(), target.tolist(), weight):
+        if best[v] < 0 or (w, score[u]) > (heaviest[v], score[best[v]]):
+            best[v], heaviest[v], score[v] = u, w, score[u] + w
+        if w > most[u]:
+            onward[u], most[u] = v, w
+    v = max(range(n), key=lambda x: (score[x], -int(rank[x])))
+    back, ahead, u = [], [], v
+    while onward[u] >= 0:
+        u = onward[u]
+        ahead.append(u)
+    while v >= 0:
+        back.append(v)
+        v = best[v]
+    return back[::-1] + ahead
+
+
+def test_heaviest_path_by_runs():
+    rng = random.Random(5)
+    for _ in range(60):
+        whole = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 160)))
+        graph = poa.Graph.of(whole, rng.randrange(1, 4))
+        for _ in range(rng.randrange(8)):
+            a, b = sorted(rng.randrange(len(whole) + 1) for _ in range(2))
+            piece = "".join(rng.choice(["", c + rng.choice("ACGT"), rng.choice("ACGT")]) if rng.random() < 0.08 else c for c in whole[a:b])
+            if piece:
+                graph.add(piece, rng.randrange(1, 4))
+        assert graph._heaviest().tolist() == _path_by_edges(graph)
+
+
+def test_a_whole_block_hands_on_letters_only():
+    rows = {"contig_id": [0] * 3, "block": [1] * 3, "rank": [0, 1, 2], "read_id": [5, 6, 7], "piece": ["ACGTACGGTTCA", "ACGTACGGTTCA", "CGTACGGTT"], "batch": [0] * 3}
+    whole = consensus._slices_batch(pa.table({**rows, "whole": [True] * 3})).to_pylist()[0]
+    part = consensus._slices_batch(pa.table({**rows, "whole": [False] * 3})).to_pylist()[0]
+    assert whole["cns"] == "ACGTACGGTTCA" and not whole["base"] and not whole["source"]
+    assert part["cns"] is None and len(part["base"]) == 12
