@@ -142,3 +142,20 @@ def test_long_lists_align_by_next_matches(monkeypatch):
             trees = [wrappers.blocks(page)[1] for page in pages]
             items = wrappers._numbered(wrappers.align(*[wrappers.fold(tree) for tree in trees]), iter(range(10**6)))
             assert all(None not in wrappers.place(tree, items, {}, []) for tree in trees)
+
+
+def test_size_of_lists_changes_no_result(monkeypatch):
+    """Lists whose table is not held as a whole are aligned and fitted the same way."""
+    import random
+
+    rng = random.Random(4)
+    page = lambda: "".join(f"<{t}>x{'<pre>y</pre><h4>z</h4>' * rng.randrange(2)}</{t}>" for t in rng.choices(["p", "h2", "h3", "div"], k=rng.randint(1, 30)))
+    seen = {0: [], 4_000_000: []}
+    pages = [[page() for _ in range(3)] for _ in range(120)]
+    for cells, found in seen.items():
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        for group in pages:
+            one, two, other = [wrappers.fold(wrappers.blocks(text)[1]) for text in group]
+            merged = wrappers.align(one, two)
+            found += [merged, wrappers._fitted(wrappers._shape(other), wrappers._numbered(merged, iter(range(10**6))), {})]
+    assert seen[0] == seen[4_000_000]

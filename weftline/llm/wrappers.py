@@ -25,10 +25,11 @@ import html as entities
 import json
 import re
 import sys
-from bisect import bisect_left
 from functools import lru_cache, reduce
 from itertools import count, groupby
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -44,7 +45,7 @@ CONSTANT_FROM = 3   # a text that all pages have in a slot is template text if t
 MEMO = 20_000       # choices and wrappers remembered in a task
 
 DEPTH = 100         # levels of a tree; elements that lie deeper hang side by side below the last one
-CELLS = 4_000_000   # longer lists than this as a product are aligned by next matches instead of a whole table
+CELLS = 4_000_000   # of a table held as a whole; of longer lists some rows are held and the others made again
 
 # Every tag found ends at some ">" of the text it is given, so no start is scanned in vain.
 # Quotes count only where a value begins; one that never closes is part of an unquoted value.
@@ -200,7 +201,7 @@ def align(one: list, two: list) -> list:
         return one
     n, m = len(one), len(two)
     if n * m > CELLS:
-        return fold(_merged_by_next(one, two))
+        return fold(_aligned_by_rows(one, two))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -220,36 +221,57 @@ def align(one: list, two: list) -> list:
     return fold(out)
 
 
-def _positions(keys) -> dict:
-    """Ascending positions of every key."""
-    where: dict = {}
-    for at, key in enumerate(keys):
-        where.setdefault(key, []).append(at)
-    return where
+def _rows(n: int, last: np.ndarray, above):
+    """Getter of rows 0 to n of a table that `above(i, row i + 1)` makes from its last row upwards.
 
+    About twice the square root of n rows are held; rows asked for in ascending order are
+    made twice in all.
+    """
+    every = isqrt(n) + 1
+    row, held, near = last, {n: last}, {}
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % every == 0:
+            held[i] = row
+
+    def at(i):
+        if i not in near:
+            near.clear()
+            start = i - i % every
+            stop = min(start + every, n)
+            near[stop] = held[stop]
+            for k in range(stop - 1, start - 1, -1):
+                near[k] = above(k, near[k + 1])
+        return near[i]
 
-def _merged_by_next(one: list, two: list) -> list:
-    """`align` for long lists: items that do not match wait for the side whose next match is nearer."""
-    ahead = [_positions(item[0] for item in side) for side in (one, two)]
+    return at
+
+
+def _aligned_by_rows(one: list, two: list) -> list:
+    """The items of `align` before folding, for lists whose table is not held as a whole."""
+    n, m = len(one), len(two)
+    kinds = {item[0]: at for at, item in enumerate(one)}
+    left, right = [kinds[item[0]] for item in one], np.array([kinds.get(item[0], -1) for item in two])
 
-    def wait(side, key, at):
-        found = ahead[side].get(key, ())
-        k = bisect_left(found, at)
-        return found[k] - at if k < len(found) else len(one) + len(two)
+    def above(i, row):
+        best = row.copy()
+        best[:-1] = np.where(right == left[i], row[1:] + 1, row[:-1])
+        return np.maximum.accumulate(best[::-1])[::-1]
 
+    row = _rows(n, np.zeros(m + 1, np.int32), above)
     out, i, j = [], 0, 0
-    while i < len(one) and j < len(two):
-        a, b = one[i], two[j]
-        if a[0] == b[0]:
+    while i < n or j < m:
+        if i < n and j < m and one[i][0] == two[j][0]:
+            a, b = one[i], two[j]
             out.append([a[0], align(a[1], b[1]), a[2] | b[2], a[3] | b[3]])
             i, j = i + 1, j + 1
-        elif wait(0, b[0], i) <= wait(1, a[0], j):
-            out.append([a[0], a[1], a[2], 1])
+        elif j == m or i < n and row(i)[j + 1] <= row(i + 1)[j]:
+            out.append([one[i][0], one[i][1], one[i][2], 1])
             i += 1
         else:
-            out.append([b[0], b[1], b[2], 1])
+            out.append([two[j][0], two[j][1], two[j][2], 1])
             j += 1
-    return out + [[k, kids, again, 1] for k, kids, again, _ in one[i:] + two[j:]]
+    return out
 
 
 def slots(items: list, above: tuple = (), repeated: int = 0, optional: int = 0):
@@ -280,7 +302,8 @@ def _fitted(shape: tuple, items: list, memo: dict) -> tuple:
         return found
     n, m = len(shape), len(items)
     if n * m > CELLS:
-        return _first_fit([kid[0] for kid in shape], items, memo, shape)
+        memo[id(items), shape] = _fitted_by_rows(shape, items, memo)
+        return memo[id(items), shape]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     step = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n, -1, -1):
@@ -305,16 +328,36 @@ def _fitted(shape: tuple, items: list, memo: dict) -> tuple:
     return best[0][0], chosen
 
 
-def _first_fit(keys: list, items: list, memo: dict, shape: tuple) -> tuple:
-    """`_fitted` for long lists: every kid takes the first item of its key that is left."""
-    ahead, chosen, at = _positions(item[0] for item in items), [], 0
-    for key in keys:
-        found = ahead.get(key, ())
-        k = bisect_left(found, at)
-        chosen.append(found[k] if k < len(found) else None)
-        at = found[k] + 1 if k < len(found) else at
-    memo[id(items), shape] = 100 * chosen.count(None), chosen
-    return memo[id(items), shape]
+def _fitted_by_rows(shape: tuple, items: list, memo: dict) -> tuple:
+    """What `_fitted` gives, for lists whose table is not held as a whole."""
+    n, m = len(shape), len(items)
+    empty = np.array([1 - item[2] for item in items], np.int64)
+    passed = np.concatenate([[0], np.cumsum(empty)])  # cost of the items before, all empty
+    none = 1 << 60
+
+    @lru_cache(64)
+    def costs(kid):
+        """Cost of the kid below each item."""
+        return np.array([none if kid[0] != item[0] else 0 if kid[0] == "#" else _fitted(kid[1], item[1], memo)[0] for item in items], np.int64)
+
+    def above(i, row):
+        best = row + 100
+        best[:-1] = np.minimum(best[:-1], costs(shape[i]) + row[1:])
+        return np.minimum.accumulate((best + passed)[::-1])[::-1] - passed
+
+    row = _rows(n, passed[-1] - passed, above)
+    chosen, i, j = [], 0, 0
+    while i < n:
+        here, below = row(i), row(i + 1)
+        if j < m and costs(shape[i])[j] + below[j + 1] == here[j]:
+            chosen.append(j)
+            i, j = i + 1, j + 1
+        elif j < m and empty[j] + here[j + 1] == here[j]:
+            j += 1
+        else:
+            chosen.append(None)
+            i += 1
+    return int(row(0)[0]), chosen
 
 
 def _only_way(keys: tuple, items: list):
