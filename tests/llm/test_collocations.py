@@ -72,3 +72,12 @@ def test_tokens_of_sliced_array():
     assert words.to_pylist() == ["a", "b", "c", "d", "e", "f", "g"]
     assert row.tolist() == [0, 0, 0, 3, 3, 3, 4]
     assert onward.tolist() == [True, False, False, True, False, False, False]
+
+
+def test_two_passes_whatever_the_sample_misses(spark, monkeypatch):
+    calls, counts = [], collocations._counts
+    monkeypatch.setattr(collocations, "_counts", lambda *args, **named: calls.append(named) or counts(*args, **named))
+    docs = documents()
+    got = collocations.collocations(spark.createDataFrame(docs, SCHEMA), sample=10**6)
+    assert sorted(map(tuple, got.collect())) == plain(docs)
+    assert len(calls) == 3  # the sample and two passes

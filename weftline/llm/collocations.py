@@ -6,9 +6,10 @@ the hash of their text, proposes words and pairs at a lowered threshold. One pas
 documents then counts, exactly, every word and every phrase whose parts were all proposed:
 the proposed ones that the corpus holds and, with them, the negative border, the smallest
 phrases that were not proposed. A frequent member of the border is a failure of the sample:
-it is proposed after all, and a further pass counts only the phrases that have become
-eligible by that. Passes end when the border has no frequent member; then every frequent
-phrase has been counted.
+it is proposed after all, and a second pass counts only the phrases that have become
+eligible by that. A pair that this pass counts for the first time, for a word that had not
+been proposed, may be a failure in its turn; the pass takes it as proposed and counts the
+triples with it at once. So two passes always end: every frequent phrase has been counted.
 
 What is proposed travels as a bit table of at most MAX_BITS bits. It answers yes for all
 that was proposed and, rarely, for more; such phrases are counted too, so the size of the
@@ -99,7 +100,10 @@ def _bits(hashes: np.ndarray, size: int):
 
 
 def _count_slice(lang: pa.Array, text: pa.Array, now, before, sampling: bool):
-    """(lang, k, phrase, n) batches of one slice: what tables `now` admit and `before` did not."""
+    """(lang, k, phrase, n) batches of one slice: what tables `now` admit and `before` did not.
+
+    In a second pass (`before` given) pairs of words that `before` did not hold count as held by `now`.
+    """
     words, row, onward = tokens(text)
     if not len(words):
         return
@@ -145,6 +149,8 @@ def _count_slice(lang: pa.Array, text: pa.Array, now, before, sampling: bool):
         return
     pair_hash = _pair(hashes[place[one]], hashes[place[one + 1]])
     pair_now, pair_old = holds(now[1], pair_hash), holds(old[1], pair_hash) & ~new
+    if before is not None:
+        pair_now |= new
     seat_of = np.full(len(ids), -1, np.int64)
     seat_of[at] = seat
     first = at[seat_of[np.minimum(at + 1, len(ids) - 1)] >= 0]
@@ -231,18 +237,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
         _counts(docs.filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0), (None, None), sampling=True).filter((F.col("k") > 0) & (F.col("n") >= lowered)), "phrases-sample"
     )
     now = tuple(_bit_table(seen.filter(F.col("k") == k), max_bits=max_bits) for k in (1, 2))
-    before, found = None, []
-    while True:
-        kept = materialise(_counts(docs, now, before).filter((F.col("n") >= least) | (F.col("k") == 0)), "phrases-counted")
-        found.append(kept)
-        failed = [materialise(_missing(kept, k, table), "phrases-border") for k, table in zip((1, 2), now)]
-        if all(f.isEmpty() for f in failed):
-            break
-        before, now = now, tuple(_bit_table(f, table) for f, table in zip(failed, now))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    wanted = (F.col("n") >= least) | (F.col("k") == 0)
+    first = materialise(_counts(docs, now).filter(wanted), "phrases-counted")
+    failed = [materialise(_missing(first, k, table), "phrases-border") for k, table in zip((1, 2), now)]
+    if all(f.isEmpty() for f in failed):
+        return first
+    wider = tuple(_bit_table(f, table) for f, table in zip(failed, now))
+    return first.unionByName(materialise(_counts(docs, wider, now).filter(wanted), "phrases-counted"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, cover: tuple = COVER, top: int = TOP, **proposing) -> DataFrame:
