@@ -96,11 +96,26 @@ def total_counters(parts: DataFrame, kinds: int, bits: int = COUNTER_BITS) -> np
         parts.repartition(n, "kind", "block")
         .select("kind", "block", F.posexplode("counts").alias("at", "n"))
         .groupBy("kind", "block", "at").agg(F.sum("n").alias("n")).filter("n <> 0")
-        .select("kind", (F.col("block") * _BLOCK + F.col("at")).alias("bucket"), "n")
-    ).toPandas()  # fixed size
-    out = np.zeros((kinds, 1 << bits), np.int64)
-    out[added["kind"].to_numpy(int), added["bucket"].to_numpy(int)] = added["n"].to_numpy(np.int64)
-    return out
+    )
+    out = np.zeros((kinds, (1 << bits) // _BLOCK, _BLOCK), np.int64)
+    for kind, block, counts in added.mapInArrow(_packed, "kind int, block int, counts binary").collect():  # a row per block
+        out[kind, block] = np.frombuffer(bytes(counts), np.int64)
+    return out.reshape(kinds, -1)
+
+
+def _packed(batches):
+    """(kind, block, at, n) -> (kind, block, counts): a block is one row of bytes, so the driver makes no row per counter."""
+    held = {}
+    for batch in batches:
+        kind, block, at, n = (batch.column(c).to_numpy() for c in ("kind", "block", "at", "n"))
+        of = (kind.astype(np.int64) << 32) | block
+        for one in np.unique(of).tolist():
+            mine = of == one
+            np.add.at(held.setdefault(one, np.zeros(_BLOCK, np.int64)), at[mine], n[mine])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([o >> 32 for o in held], pa.int32()), pa.array([o & 0xFFFFFFFF for o in held], pa.int32()), pa.array([h.tobytes() for h in held.values()], pa.binary())],
+        names=["kind", "block", "counts"],
+    )
 
 
 def free_name(df: DataFrame, wish: str) -> str:
