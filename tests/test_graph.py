@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,37 @@ def test_walk_order(spark, bound):
     roots = spark.createDataFrame([(r,) for r in (17, 1003, 3001, 5002, 9999)], "node long")
     got = {r.node: r.visit for r in tree_walk.walk_order(edges, roots, bound).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("width", [1, 7, 60, 400])
+def test_ordered_blocks_solve_like_the_whole_matrix(monkeypatch, width):
+    rng, n = np.random.default_rng(width), 700
+    u = np.concatenate([np.arange(n - 1), rng.integers(0, n - width, 2000)])
+    v = np.concatenate([np.arange(1, n), u[n - 1:] + rng.integers(1, width + 1, 2000)])
+    matrix = elimination.dense_laplacian(n, u, v, rng.random(len(u)) + 0.1)[1:, 1:]
+    sides = rng.normal(size=(n - 1, 5))
+    true, solve, sizes = np.linalg.solve(matrix, sides), np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: sizes.append(len(a)) or solve(a, b))
+    assert np.allclose(elimination.solve_ordered(matrix, sides), true, rtol=1e-8, atol=1e-8)
+    assert np.allclose(elimination.solve_ordered(matrix, sides[:, 0]), true[:, 0], rtol=1e-8, atol=1e-8)
+    assert max(sizes) == (n - 1 if width == 400 else max(width, 32))
+
+
+def test_slices_stand_in_genome_order(monkeypatch):
+    """Ids that say nothing of the place still give narrow matrices."""
+    rng, n, reach = np.random.default_rng(3), 600, 6
+    ids = rng.permutation(10**6)[:n]
+    i = np.repeat(np.arange(n - reach), reach)
+    j = i + np.tile(np.arange(1, reach + 1), n - reach)
+    edges = pd.DataFrame({"kind": 0, "i": ids[i], "j": ids[j], "w": 1.0, "y": 10.0 * (j - i)})
+    nodes = pd.DataFrame({"kind": 1, "i": ids, "j": (np.arange(n) == 0).astype(int), "w": float(ids[0]), "y": 10.0 * np.arange(n)})
+    known = pd.DataFrame({"kind": 2, "i": ids[:1], "j": 1, "w": np.nan, "y": [5.0]})
+    solve, sizes = np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: sizes.append(len(a)) or solve(a, b))
+    rows = pd.concat([edges, nodes]).sample(frac=1, random_state=1)
+    got = elimination._fill_slice(pd.concat([rows, known])).set_index("node").x
+    held = got[ids[:n - reach]].to_numpy()
+    assert np.allclose(held, 5 + 10.0 * np.arange(n - reach))
+    assert max(sizes) <= 32
+    left = elimination._condense_slice(rows)
+    assert left[left.kind == 1].i.tolist() == [ids[0]] and not (left.kind == 0).any()
