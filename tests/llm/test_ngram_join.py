@@ -94,3 +94,45 @@ def test_frequent_prefixes_share_a_combination():
             one, _ = ngram_join.signatures(a, count(a), (50, 600), 75, 100)
             two, _ = ngram_join.signatures(b, count(b), (50, 600), 75, 100)
             assert len(np.intersect1d(one, two))
+
+
+def test_large_group_of_near_copies_is_not_paired_member_by_member(spark, monkeypatch):
+    """Copies with up to nine words replaced; those with most link with nothing."""
+    rng, size = random.Random(7), 240
+    base = [f"w{i}" for i in range(146)]
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([1, 2, 3, 6, 7, 8, 9])):
+            copy[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(copy)))
+    compared, compare = [], ngram_join._compare
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_compare", counted)
+    monkeypatch.setattr(ngram_join, "CROWDED", 100, raising=False)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 16)
+    found = ngram_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
+    assert sum(compared) < 10 * size
+
+
+@pytest.mark.parametrize("crowded", [0, 20])
+def test_crowded_sets_lose_no_link(spark, monkeypatch, crowded):
+    """Few pivots tried, so that stars of crowded and of other sets stay open."""
+    rng = random.Random(11)
+    rows = corpus(5)
+    for length in (40, 90):
+        base = [f"b{length}w{i}" for i in range(length)]
+        for _ in range(40):
+            copy = list(base)
+            for at in rng.sample(range(length), rng.randint(0, length // 18)):
+                copy[at] = f"z{rng.randrange(6)}"
+            rows.append((1000 + len(rows), " ".join(copy[rng.randint(0, length // 9):])))
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded, raising=False)
+    found = ngram_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
