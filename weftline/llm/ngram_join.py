@@ -20,10 +20,11 @@ Equal sets are joined first. Two sets are compared only if the number of signatu
 share leaves room for the overlap that their sizes ask for. Sets that share a signature are then linked to a pivot, one
 comparison per set, which turns groups of near copies into stars. Between stars only the
 pivots are compared; since Jaccard distance is a metric, distance(pivots) minus both radii
-bounds every pair between two stars. Only pairs of stars that stay open are compared
-member by member. Both of those joins pair what shares a signature, so their rows can grow
-with the square of a group of sets that are alike but not linked; no link between components
-is lost.
+bounds every pair between two stars. Members of stars that stay open meet by what they
+differ in from the pivot of the larger one. In a large group of near copies, sets whose own
+tokens keep them from linking with anything crowded are found by exact counts beforehand.
+Pairs of stars still come from shared signatures, so their rows can grow with the square of
+the sets of a group that are alike, not linked and not told apart so; no link is lost.
 """
 
 from __future__ import annotations
