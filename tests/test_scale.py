@@ -5,7 +5,7 @@ from hashlib import md5
 
 import pyarrow as pa
 
-from weftline.operators import consensus, poa, stats
+from weftline.operators import consensus, overlaps, poa, stats
 from workload import fixtures
 
 
@@ -83,3 +83,9 @@ def test_a_whole_block_hands_on_letters_only():
     part = consensus._slices_batch(pa.table({**rows, "whole": [False] * 3})).to_pylist()[0]
     assert whole["cns"] == "ACGTACGGTTCA" and not whole["base"] and not whole["source"]
     assert part["cns"] is None and len(part["base"]) == 12
+
+
+def test_overlaps_are_read_and_not_worked_out_again(spark, sf):
+    """What later steps ask of an overlap must not reach into the join of the two reads."""
+    used = overlaps.usable(fixtures.paf_noisy(fixtures.paf(spark, sf)), 80)
+    assert "Join" not in used._jdf.queryExecution().executedPlan().toString()
