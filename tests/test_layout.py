@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from workload import catalog
 from workload import fixtures as fx
 from weftline.config import AssemblyConfig, ScaleBounds
 from weftline.functions import geometry as G
@@ -216,3 +217,15 @@ def test_a_report_costs_no_jobs(spark, clean, monkeypatch):
     assert counts[0] == counts[1]
     values = report.values()
     assert values["records"] == values["usable"] == values["reads_equations"] == clean.count() and values["reads_residual_max"] < 1
+
+
+def test_the_report_of_a_run_is_about_the_reads_it_has_placed(spark, sf, monkeypatch):
+    """Blocks are cut from the positions that the fit has found, not from known ones."""
+    some = fx.sim_reads(spark, sf).filter("read_id between 40 and 79")
+    placed = some.select(F.lit(40).cast("long").alias("layout"), "read_id", F.col("g_start").alias("start"), F.col("strand").alias("dir"), F.col("read_len").alias("len"))
+    monkeypatch.setattr(plan, "load_graph", lambda *_: None)
+    monkeypatch.setattr(plan, "read_positions", lambda *_: placed)
+    got = {r.metric: r.value for r in catalog.run_report(spark, sf).collect()}
+    span = some.agg(F.max("g_end") - F.min("g_start")).first()[0]
+    ends = [min(2400 * k + 3000, span) - 2400 * k for k in range(span // 2400 + 1)]
+    assert got == {"blocks": len(ends), "consensus_bases": sum(ends), "unaligned_slices": 0}
