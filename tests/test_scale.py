@@ -1,11 +1,13 @@
 """What larger tables need: sums beyond 32 bits, work spread over tasks, text made once."""
 
 import random
+import re
 from hashlib import md5
 
 import pyarrow as pa
 
-from weftline.operators import consensus, overlaps, poa, stats
+from weftline.functions import packed
+from weftline.operators import blocks, consensus, overlaps, poa, stats, stitch
 from workload import fixtures
 
 
@@ -89,3 +91,44 @@ def test_overlaps_are_read_and_not_worked_out_again(spark, sf):
     """What later steps ask of an overlap must not reach into the join of the two reads."""
     used = overlaps.usable(fixtures.paf_noisy(fixtures.paf(spark, sf)), 80)
     assert "Join" not in used._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_letters():
+    rng = random.Random(3)
+    for n in [0, 1, 2, 3, 4, 5, 30, 301] * 4:
+        for letters in ("ACGT", "ACGTN", "acgtÄ"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            held = packed.pack(text)
+            assert packed.unpack(held) == text
+            start, length = rng.randint(0, n + 3), rng.randint(0, n + 3)
+            right = n - start
+            left = max(right - length, 0)
+            turned = text[left:left + max(right - left, 0)].upper().translate(str.maketrans("ACGT", "TGCA"))[::-1]
+            assert packed.cut(held, True, start, length) == text[start:start + length]
+            assert packed.cut(held, False, start, length) == turned
+    assert len(packed.pack("ACGT" * 100)) == 101
+
+
+def test_sequences_and_slices_are_shuffled_packed(spark, monkeypatch):
+    """Reads meet their places, and slices their blocks, in two bits a letter."""
+    layout = spark.createDataFrame([(0, 1, 0, 1, 40, 0), (0, 2, 5, -1, 40, 1)], "contig_id long, read_id long, start long, dir int, len long, rank long")
+    reads = spark.createDataFrame([(1, "ACGTC" * 8), (2, "GGTCA" * 8)], "read_id long, seq string")
+    rows = blocks.slices(layout, reads, 30, 6)
+    assert "packed(" in rows._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    sent, spread = [], consensus.spread
+    monkeypatch.setattr(consensus, "spread", lambda df, *keys: sent.append(dict(df.dtypes)) or spread(df, *keys))
+    consensus.block_profiles(rows).collect()
+    assert [x["piece"] for x in sent] == ["binary"]
+
+
+def test_stored_blocks_are_not_written_again_and_meet_by_their_ends(spark, monkeypatch):
+    rng = random.Random(4)
+    genome = "".join(rng.choice("ACGT") for _ in range(700))
+    df = spark.createDataFrame([(0, k, genome[200 * k:200 * k + 300]) for k in range(3)], "contig_id long, block long, cns string")
+    written, keep, sent, spread = [], stitch.materialise, [], stitch.spread
+    monkeypatch.setattr(stitch, "materialise", lambda df, name, *more, **given: written.append(name) or keep(df, name, *more, **given))
+    monkeypatch.setattr(stitch, "spread", lambda df, *keys: sent.append(df) or spread(df, *keys))
+    pieces = sorted((r.offset, r.seq) for r in stitch.contig_pieces(df, 300, 100, 40, stored=True).collect())
+    assert "".join(seq for _, seq in pieces) == genome and "blocks" not in written
+    below = sent[0]._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "AS after" in below and not re.search(r"cns#\d+ AS left", below)
