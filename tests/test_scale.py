@@ -132,3 +132,63 @@ def test_stored_blocks_are_not_written_again_and_meet_by_their_ends(spark, monke
     assert "".join(seq for _, seq in pieces) == genome and "blocks" not in written
     below = sent[0]._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
     assert "AS after" in below and not re.search(r"cns#\d+ AS left", below)
+
+
+def _plain_chain(seq, template, size):
+    """Words found one after another in a table of all words, the longest series by trying every end."""
+    words = [template[j:j + size] for j in range(len(template) - size + 1)]
+    hits, i = [], 0
+    while i <= len(seq) - size:
+        if words.count(seq[i:i + size]) == 1:
+            hits.append((i, words.index(seq[i:i + size])))
+            i += size
+        else:
+            i += 1
+    best = [1] * len(hits)
+    for k, (_, j) in enumerate(hits):
+        best[k] = 1 + max((best[x] for x in range(k) if hits[x][1] < j), default=0)
+    return hits, max(best, default=0)
+
+
+def test_words_are_found_in_runs():
+    rng = random.Random(9)
+    for _ in range(150):
+        genome = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 8, 15, 200])))
+        if genome and rng.random() < 0.4:
+            genome = genome[:90] + "AC" * 9 + genome[90:]
+        seq = list(genome[rng.randrange(len(genome) + 1):] + genome[:rng.choice([0, 0, 40])])
+        for _ in range(rng.choice([0, 1, 4])):
+            if seq:
+                k = rng.randrange(len(seq))
+                seq[k:k + rng.choice([0, 1])] = rng.choice(["", "A", "CG", "n", "T"])
+        seq = "".join(seq)
+        for size in (15, 9):
+            chain = poa.word_chain(seq, genome, size)
+            hits, longest = _plain_chain(seq, genome, size)
+            assert set(chain) <= set(hits) and (len(chain) == longest or any(b[1] - a[1] < size for a in hits for b in hits if a[1] < b[1]))
+            assert all(a[0] + size <= b[0] and a[1] + size <= b[1] for a, b in zip(chain, chain[1:]))
+            known = poa.Words(genome, size)
+            runs = poa.word_runs(poa._bytes(seq), known)
+            assert [(i + k, j + k) for i, j, n, _ in runs for k in range(0, n * size, size)] == chain
+            assert all(seq[i:stop] == genome[j:j + stop - i] and n * size <= stop - i for i, j, n, stop in runs)
+
+
+def test_small_tables_are_those_of_arrays(monkeypatch):
+    rng = random.Random(10)
+    for _ in range(120):
+        genome = "".join(rng.choice("ACGT") for _ in range(60))
+        copies = [genome[:k] + rng.choice(["", "A", "GT", "C"]) + genome[k + rng.choice([0, 1, 2]):] for k in rng.sample(range(5, 55), 5)]
+        made = []
+        for few in (poa._FEW, -1):
+            monkeypatch.setattr(poa, "_FEW", few)
+            made.append(consensus.laid(copies, [1] * 5))
+            monkeypatch.undo()
+        assert made[0][1] == made[1][1] and all((x == y).all() for x, y in zip(made[0][0].arrays(), made[1][0].arrays(), strict=True))
+
+
+def test_keys_of_noisy_slices_make_no_pieces(spark, tmp_path):
+    rows = fixtures.noisy_slices(spark, _parts(spark, tmp_path, range(20)))
+    keys = rows.select("contig_id", "block", "rank", "read_id")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+    assert keys.count() == rows.filter("length(piece) > 0").count() > 20
